@@ -1,4 +1,4 @@
-"""Registry of the core's queries."""
+"""Registry of the core's queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from centime.plans import passages, published
 from centime.session import table
 
 
@@ -22,8 +23,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found)}
+    return {**published.QUERIES, **passages.QUERIES, **{f.__name__: f for f in (p3_found, p4_found)}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**published.SQL, **passages.SQL}
