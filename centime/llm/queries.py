@@ -15,6 +15,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "passages"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.llm.signatures import duplicate_pairs
+
+    return duplicate_pairs(table(spark, sf_dir, "passages"), table(spark, sf_dir, "occurrences"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that has a near-duplicate, with its group."""
+    from centime.llm.signatures import near_duplicates, referred
+
+    return near_duplicates(referred(table(spark, sf_dir, "passages"), table(spark, sf_dir, "occurrences")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centime.llm.lookalikes import same_look
 
@@ -67,7 +80,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_spans, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_spans, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
