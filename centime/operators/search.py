@@ -31,7 +31,11 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], every: bool = True) -> DataFrame:
     """(key, score) of documents with the terms (all of them, or any). One scan for statistics, one for scores; only matching rows are shuffled."""
     counted = docs.select(key, tokens(F.col(text)).alias("_words")).withColumn("_length", F.size("_words"))
-    counts = [F.size(F.filter("_words", lambda w, t=t: w == t)).alias(f"_t{i}") for i, t in enumerate(terms)]
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("_words", lambda w: w == term))
+
+    counts = [times(t).alias(f"_t{i}") for i, t in enumerate(terms)]
     counted = counted.select(key, "_length", *counts)
     totals = counted.where("_length > 0").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_length").alias("_avg"), *(F.count(F.when(F.col(f"_t{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(terms)))
@@ -65,7 +69,7 @@ def sparse_scores(passages: DataFrame, key: str, ids: str, weights: str, query:
     q = F.create_map(*(x for t, w in query.items() for x in (F.lit(int(t)), F.lit(float(w)))))
     product = F.zip_with(ids, weights, lambda i, w: F.coalesce(F.try_element_at(q, i), F.lit(0.0)) * w.cast("double"))
     score = F.aggregate(product, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    return passages.where(F.arrays_overlap(ids, F.array(*(F.lit(int(t)) for t in query)))).select(key, F.round(score, 6).alias("score")).where("score > 0")
+    return passages.where(F.arrays_overlap(ids, F.array(*(F.lit(int(t)) for t in query)))).select(key, score.alias("score")).where("score > 0")
 
 
 def ranked(scores: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:

@@ -54,7 +54,7 @@ TERMS = ["fonds", "solidarite", "deficit"]
 
 
 def _bm25_sql(terms: list[str]) -> str:
-    counts = ", ".join(f"len(list_filter(w, x -> x = '{t}')) AS t{i}" for i, t in enumerate(terms))
+    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(terms))
     totals = ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(terms)))
     score = " + ".join(
         f"ln(1.0::DOUBLE + (n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * (t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)))" for i in range(len(terms))
@@ -93,9 +93,9 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPARSE_QUERY = {11: 0.5, 64: 0.25, 309: 1.0, 1716: 2.0}
 _SPARSE = (
-    "sparse AS (SELECT seq, round(sum(w::DOUBLE * q), 6) AS score FROM (SELECT seq, unnest(sparse_ids) AS i, unnest(sparse_weights) AS w FROM passages) JOIN (VALUES "
+    "sparse AS (SELECT seq, sum(w::DOUBLE * q) AS score FROM (SELECT seq, unnest(sparse_ids) AS i, unnest(sparse_weights) AS w FROM passages) JOIN (VALUES "
     + ", ".join(f"({t}, {w}::DOUBLE)" for t, w in SPARSE_QUERY.items())
-    + ") v(t, q) ON i = t GROUP BY 1 HAVING round(sum(w::DOUBLE * q), 6) > 0)"
+    + ") v(t, q) ON i = t GROUP BY 1 HAVING sum(w::DOUBLE * q) > 0)"
 )
 
 
@@ -103,9 +103,9 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.sparse_scores(table(spark, sf_dir, "passages"), "seq", "sparse_ids", "sparse_weights", SPARSE_QUERY)
 
 
-@query(f"WITH {_SPARSE} SELECT seq, round(score, 5) AS score FROM sparse")
+@query(f"WITH {_SPARSE} SELECT seq, round(score, 6) AS score FROM sparse")
 def sparse_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse(spark, sf_dir).select("seq", F.round("score", 5).alias("score"))
+    return sparse(spark, sf_dir).select("seq", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -133,7 +133,7 @@ def scalars_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, '|' || array_to_string(list_sort(list_distinct(years)), '|') || '|' AS key, len(list_distinct(list_filter(years, x -> x IS NOT NULL))) AS n FROM documents WHERE len(years) > 0"""
+    """SELECT doc_id, '|' || array_to_string(list_sort(list_distinct(years)), '|') || '|' AS key, len(list_distinct(list_filter(years, lambda x: x IS NOT NULL))) AS n FROM documents WHERE len(years) > 0"""
 )
 def path_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = scalars.years_key(F.col("years"))
@@ -173,12 +173,14 @@ SEGMENTS = "array<struct<block:int,char_start:int,char_end:int,text:string>>"
     """WITH o AS (SELECT DISTINCT id, chunk_json FROM occurrences WHERE json_valid(chunk_json) AND json_type(chunk_json, '$.segments') = 'ARRAY'),
 s AS (SELECT id, TRY_CAST(x->>'$.block' AS INTEGER) AS block, TRY_CAST(x->>'$.char_start' AS INTEGER) AS b, TRY_CAST(x->>'$.char_end' AS INTEGER) AS e FROM (SELECT id, unnest(CAST(chunk_json->'$.segments' AS JSON[])) AS x FROM o)),
 l AS (SELECT id, block, b, e, b - lag(e) OVER (PARTITION BY id, block ORDER BY b, e) AS shift FROM s WHERE b IS NOT NULL AND e IS NOT NULL)
-SELECT id, block, b AS char_start, shift, CASE WHEN shift > 0 THEN 'gap' ELSE 'overlap' END AS kind FROM l WHERE shift <> 0"""
+SELECT id, count(*) AS segments, CAST(sum(CASE WHEN shift <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS breaks, CAST(sum(e - b) AS BIGINT) AS characters FROM l GROUP BY 1"""
 )
 def segment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "occurrences").select("id", "chunk_json").distinct()
     read = chunks.select("id", F.explode(F.from_json("chunk_json", f"struct<segments:{SEGMENTS}>").segments).alias("s")).select("id", "s.*").where("char_start IS NOT NULL AND char_end IS NOT NULL")
-    return textprep.segment_breaks(read, ["id", "block"], "char_start", "char_end").select("id", "block", "char_start", "shift", "kind")
+    whole = read.groupBy("id").agg(F.count(F.lit(1)).alias("segments"), F.sum((F.col("char_end") - F.col("char_start")).cast("bigint")).alias("characters"))
+    broken = textprep.segment_breaks(read, ["id", "block"], "char_start", "char_end").groupBy("id").agg(F.count(F.lit(1)).alias("breaks"))
+    return whole.join(broken, "id", "left").select("id", "segments", F.coalesce("breaks", F.lit(0)).cast("bigint").alias("breaks"), "characters")
 
 
 @query()
@@ -218,14 +220,15 @@ def action_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH n AS (SELECT record_id, notice_key, source_id, source_sha, table_index, stage, values_cents FROM delivery_check),
 f AS (SELECT id, source_id, source_sha, table_index, stage, metric, amount_cents FROM pdf_facts)
-SELECT f.id, n.record_id, f.metric FROM f JOIN n ON f.source_id = n.source_id AND f.table_index = n.table_index AND f.source_sha = n.source_sha AND f.stage = n.stage AND n.values_cents[f.metric] = f.amount_cents"""
+SELECT f.id, n.record_id, f.metric, coalesce(n.values_cents[f.metric] = f.amount_cents, false) AS applies FROM f JOIN n ON f.source_id = n.source_id AND f.table_index = n.table_index"""
 )
 def notice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the notices that still apply: a changed amount loses its notice."""
+    """Facts with the notices of their table, and whether each still applies: a changed amount loses its notice."""
     notices = table(spark, sf_dir, "delivery_check").select("record_id", "source_id", "source_sha", "table_index", "stage", "values_cents")
     facts = table(spark, sf_dir, "pdf_facts").select("id", "source_id", "source_sha", "table_index", "stage", "metric", "amount_cents")
-    met = facts.join(notices, ["source_id", "source_sha", "table_index", "stage"])
-    return met.where(F.try_element_at("values_cents", F.col("metric")) == F.col("amount_cents")).select("id", "record_id", "metric")
+    met = facts.join(notices.select("record_id", "source_id", "table_index", "values_cents"), ["source_id", "table_index"])
+    applies = F.try_element_at("values_cents", F.col("metric")) == F.col("amount_cents")
+    return met.select("id", "record_id", "metric", F.coalesce(applies, F.lit(False)).alias("applies"))
 
 
 @query(

@@ -26,5 +26,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**published.QUERIES, **passages.QUERIES, **{f.__name__: f for f in (p3_found, p4_found)}}
 
 
+_P3 = r"""WITH r AS (SELECT registry, record_id, CAST(payload AS JSON) AS p FROM registry_raw WHERE json_valid(payload)),
+c AS (SELECT registry, record_id, CASE WHEN json_type(p) = 'ARRAY' THEN p WHEN json_exists(p, '$.items') THEN p -> '$.items' WHEN json_exists(p, '$.source_arithmetic_notices') THEN p -> '$.source_arithmetic_notices'
+  WHEN json_exists(p, '$.groups') THEN p -> '$.groups' ELSE json_array(p) END AS a FROM r),
+i AS (SELECT registry, record_id, unnest(range(len(l))) AS item_no, unnest(l) AS it FROM (SELECT registry, record_id, CAST(CASE WHEN json_type(a) = 'ARRAY' THEN a ELSE json_array(a) END AS JSON[]) AS l FROM c)),
+f AS (SELECT registry, record_id, item_no, 'c' AS t, it -> '$.comparisons' AS x FROM i UNION ALL SELECT registry, record_id, item_no, 'd', it -> '$.supporting_documents' FROM i
+  UNION ALL SELECT registry, record_id, item_no, 'p', it -> '$.parent' FROM i UNION ALL SELECT registry, record_id, item_no, 'p', it -> '$.parents' FROM i
+  UNION ALL SELECT 'source-reconciliation', record_id, 0, 'c', to_json(comparisons) FROM source_reconciliation UNION ALL SELECT 'delivery-check', record_id, 0, 'd', to_json(supporting_documents) FROM delivery_check
+  UNION ALL SELECT 'actions-p174', record_id, 0, 'p', to_json(parent) FROM action_groups UNION ALL SELECT 'actions-p174', record_id, 0, 'p', to_json(parents) FROM action_groups),
+k AS (SELECT registry, record_id, item_no, t, unnest(range(len(l))) AS child_no, unnest(l) AS y FROM (SELECT registry, record_id, item_no, t, CAST(CASE WHEN json_type(x) = 'ARRAY' THEN x ELSE json_array(x) END AS JSON[]) AS l FROM f WHERE x IS NOT NULL AND json_type(x) <> 'NULL'))
+SELECT DISTINCT registry, record_id, CAST(item_no AS INTEGER) AS item_no, CAST(child_no AS INTEGER) AS child_no FROM k
+WHERE (t = 'c' AND regexp_matches(y ->> '$.values_cents.RECETTES', '^\s*[-+]?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?\s*$')) OR (t = 'd' AND trim(y ->> '$.title') <> '') OR (t = 'p' AND (y ->> '$.program_label') <> '')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**published.SQL, **passages.SQL}
+    return {**published.SQL, **passages.SQL, "p3_found": _P3}
