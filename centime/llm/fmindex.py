@@ -91,7 +91,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """
     count = len(symbols)
     bits = int(symbols.max()).bit_length() or 1
-    several = 62 // bits
+    several = min(62 // bits, count)
     key, ended = symbols.copy(), symbols == 0
     for k in range(1, several):
         key <<= bits
@@ -103,7 +103,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     sorted_key, alone = key[order], ended[order]
     new = np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1]) | alone[1:]])
     held, bits = several, count.bit_length()
-    several = 62 // bits
+    several = min(62 // bits, count)
     rank = np.empty(count, np.int64)
     while True:
         starts = np.flatnonzero(new)

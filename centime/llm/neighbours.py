@@ -355,7 +355,10 @@ def neighbours(df: DataFrame, k: int = 5, least: float = -1.0, key: str = "seq",
     """
     spark = df.sparkSession
     vectors = durable(packed(df, key, ids, weights).withColumn("class", F.xxhash64("vector")).withColumn("check", F.crc32("vector")), "vectors")
-    sample = vectors.orderBy(F.xxhash64("seq"), "seq").select("vector").limit(SAMPLE)
+    # rows of least hash; a first cut by hash keeps what the tasks send to about the size of the sample
+    draw = F.pmod(F.xxhash64("seq"), F.lit(1 << 31))
+    share = min(1.0, 1.2 * SAMPLE / max(1, vectors.count()))
+    sample = vectors.where(draw < int(share * (1 << 31))).orderBy(draw, "seq").select("vector").limit(SAMPLE)
     top = spark.sparkContext.broadcast(Top([bytes(r["vector"]) for r in sample.toLocalIterator()]))
 
     classes = vectors.groupBy("vector").agg(F.min("seq").alias("seq"), F.max("seq").alias("other"))

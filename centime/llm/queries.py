@@ -83,5 +83,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_spans, p9_found, p9_statistics)}
 
 
+_WORDS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
+_COUNT = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\p{{Z}}\p{{C}}\p{{M}}]'))"
+
+_P2 = f"""WITH RECURSIVE p AS (SELECT seq, {_WORDS} AS w FROM passages WHERE text IS NOT NULL AND id IN (SELECT passage_id FROM occurrences)),
+t AS (SELECT DISTINCT seq, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT seq, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+n AS (SELECT seq, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT a.seq AS x, b.seq AS y, count(*) AS k FROM t a JOIN t b ON a.s = b.s AND a.seq < b.seq GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n u ON u.seq = x JOIN n v ON v.seq = y WHERE k >= 0.6 * (u.n + v.n - k) - 1e-9),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS node, x AS other FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.other = e.x)"""
+
+_P6 = f"""SELECT DISTINCT item, id FROM (SELECT 'passage' AS item, id, text FROM passages UNION ALL
+SELECT 'chunk', id, CASE WHEN json_valid(chunk_json) THEN CASE WHEN json_type(chunk_json, '$.text') = 'VARCHAR' THEN json_extract_string(chunk_json, '$.text') END END FROM occurrences)
+WHERE text IS NOT NULL AND {_COUNT.format("text")} > 800"""
+
+_P8 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 14], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS i FROM d)),
+b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 14], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where SQL can say it; the others are tested against brute force and public libraries in tests/llm."""
+    return {
+        "p2_found": f"{_P2} SELECT DISTINCT node AS seq_a, other AS seq_b FROM r WHERE node < other",
+        "p2_groups": f'{_P2} SELECT node AS seq, min(other) AS "group" FROM r GROUP BY 1',
+        "p6_found": _P6,
+        "p8_found": _P8,
+    }

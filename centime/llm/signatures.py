@@ -113,6 +113,9 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 POSTINGS = "block bigint, seq bigint, size int, bitmap binary"
+#: A pair (a, b), or with b null a text of a block that has to be walked again.
+FOUND = "a bigint, b bigint, block bigint, size int, bitmap binary"
+FOUND_NAMES = ["a", "b", "block", "size", "bitmap"]
 
 
 class Tree:
@@ -192,7 +195,14 @@ def _block_pairs(block, seq, size, bitmap, group, threshold: float, again: bool)
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         low, high = np.minimum(seq[a], seq[b]), np.maximum(seq[a], seq[b])
         pairs = np.unique(np.stack([low, high], axis=1)[low < high], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        count = len(pairs)
+        ends = [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*ends, pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())], FOUND_NAMES)
+
+    def waiting(begin: int, count: int) -> pa.RecordBatch:
+        some = slice(begin, begin + count)
+        rows = [x.tobytes() for x in bitmap[some]]
+        return pa.RecordBatch.from_arrays([pa.array(seq[some]), pa.nulls(count, pa.int64()), pa.array(block[some]), pa.array(size[some].astype(np.int32)), pa.array(rows, pa.binary())], FOUND_NAMES)
 
     # small blocks: one leaf each, all of them at once by the distance of the two texts in the block
     small = (counts > 1) & (counts <= SMALL)
@@ -217,7 +227,7 @@ def _block_pairs(block, seq, size, bitmap, group, threshold: float, again: bool)
                 a, b = tree.order[:-step], tree.order[step:]
                 kept = texts_may_match(bitmap, size, begin + a, begin + b, threshold)
                 yield out(begin + a[kept], begin + b[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(block[begin : begin + 1]), pa.array([None], pa.int64())], ["a", "b"])
+            yield waiting(begin, count)
             continue
         for a, b in tree.pairs(threshold):
             yield out(begin + a, begin + b)
@@ -294,8 +304,8 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     postings = heads.mapInArrow(_postings, POSTINGS)
     no_group = F.lit(-1).cast("bigint").alias("group")
     blocked = postings.select("block", "seq", "size", "bitmap", no_group).repartition("block").sortWithinPartitions("block")
-    found = durable(blocked.mapInArrow(_candidates(threshold, again=False), "a bigint, b bigint").distinct(), "candidates")
-    pairs = found.where("b IS NOT NULL")
+    found = durable(blocked.mapInArrow(_candidates(threshold, again=False), FOUND), "candidates")
+    pairs = durable(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
 
     first = pairs.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = durable(_verified(first, sets, threshold), "links")
@@ -307,11 +317,11 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
         return met.where("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
 
     rest = apart(pairs.join(first, ["a", "b"], "left_anti"))
-    hot = found.where("b IS NULL").select(F.col("a").alias("block"))
+    hot = found.where("b IS NULL").select("block", F.col("a").alias("seq"), "size", "bitmap")
     if hot.take(1):
-        again = postings.join(hot, "block", "left_semi").join(groups.withColumnsRenamed({"node": "seq", "root": "group"}), "seq", "left")
+        again = hot.join(groups.withColumnsRenamed({"node": "seq", "root": "group"}), "seq", "left")
         again = again.select("block", "seq", "size", "bitmap", F.coalesce("group", F.lit(-1)).alias("group")).repartition("block").sortWithinPartitions("block")
-        more = again.mapInArrow(_candidates(threshold, again=True), "a bigint, b bigint").where("b IS NOT NULL").distinct()
+        more = again.mapInArrow(_candidates(threshold, again=True), FOUND).select("a", "b").distinct()
         rest = rest.unionByName(more).distinct()
     links = links.unionByName(_verified(rest, sets, threshold)).unionByName(copies)
     return components(links).select(F.col("node").alias(key), F.col("root").alias("group"))
