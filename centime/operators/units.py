@@ -174,23 +174,23 @@ def parse_amount(raw: str | None) -> tuple[Decimal, str | None] | None:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number and unit of each row that states an amount; columns behind the first five go along."""
     label_unit, code_unit = lru_cache(1 << 16)(unit_in_text), lru_cache(1 << 12)(unit_of_code)
     most = Decimal(10) ** 17
     for batch in batches:
-        keys, values, units = [], [], []
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        for key, raw, label, code, context in zip(*columns, strict=True):
+        rows, values, units = [], [], []
+        columns = [batch.column(i).to_pylist() for i in range(1, 5)]
+        for row, (raw, label, code, context) in enumerate(zip(*columns, strict=True)):
             amount = parse_amount(raw)
             if amount is None or abs(amount[0]) >= most:
                 continue
             unit = amount[1] or label_unit(label) or code_unit(code) or label_unit(context)
-            keys.append(key)
+            rows.append(row)
             values.append(amount[0].quantize(Decimal("1e-11")))
             units.append(unit)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, batch.column(0).type), pa.array(values, pa.decimal128(29, 11)), pa.array(units, pa.string())],
-            ["id", "number", "unit"],
-        )
+        at = pa.array(rows, pa.int64())
+        carried = {batch.schema.names[i]: batch.column(i).take(at) for i in (0, *range(5, batch.num_columns))}
+        yield pa.RecordBatch.from_pydict({**carried, "number": pa.array(values, pa.decimal128(29, 11)), "unit": pa.array(units, pa.string())})
 
 
 def factors(spark: SparkSession) -> DataFrame:
@@ -199,27 +199,31 @@ def factors(spark: SparkSession) -> DataFrame:
 
 
 def to_cents(
-    facts: DataFrame, key: str = "id", raw: str = "raw", label: str = "column_label", code: str = "unit_eur", context: str = "context"
+    facts: DataFrame,
+    key: str = "id",
+    raw: str = "raw",
+    label: str = "column_label",
+    code: str = "unit_eur",
+    context: str = "context",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, number, unit, cents) of every row whose raw states an amount.
+    """(id, carried columns, number, unit, cents) of every row whose raw states an amount.
 
     The unit beside the number counts first, then one in label, then code, then
     one in context; with none at all unit is null and cents is null. cents is
     rounded half up. Rows that state no amount (null, blank, marks such as n.d.,
-    percentages, prose) have no row. Repeated rows each give one. Extra columns
-    are ignored; an empty table gives no rows.
+    percentages, prose) have no row. Repeated rows each give one. Other columns
+    are ignored; an empty table gives no rows. No shuffle.
     """
-    read = facts.select(
-        F.col(key).alias("id"), *(F.col(c).cast("string").alias(n) for c, n in ((raw, "raw"), (label, "label"), (code, "code"), (context, "context")))
-    ).where(F.col("raw").isNotNull())
-    kind = read.schema["id"].dataType.simpleString()
-    found = read.mapInArrow(_resolve, f"id {kind}, number decimal(29,11), unit string")
+    fields = [(raw, "raw"), (label, "label"), (code, "code"), (context, "context")]
+    read = facts.where(F.col(raw).isNotNull()).select(F.col(key).alias("id"), *(F.col(c).cast("string").alias(f"_{n}") for c, n in fields), *carry)
+    kinds = "".join(f", `{c}` {read.schema[c].dataType.simpleString()}" for c in carry)
+    found = read.mapInArrow(_resolve, f"id {read.schema['id'].dataType.simpleString()}{kinds}, number decimal(29,11), unit string")
     joined = found.join(F.broadcast(factors(facts.sparkSession)), "unit", "left")
-    return joined.select("id", "number", "unit", F.expr("try_cast(round(number * cents_each) AS bigint)").alias("cents"))
+    return joined.select("id", *carry, "number", "unit", F.expr("try_cast(round(number * cents_each) AS bigint)").alias("cents"))
 
 
 def misstated(facts: DataFrame) -> DataFrame:
     """(id, cents): rows whose raw states an amount while amount_cents is null or another number. Distinct."""
-    stated = to_cents(facts).where("cents IS NOT NULL").select("id", "cents")
-    given = facts.select("id", "amount_cents")
-    return stated.join(given, "id").where("amount_cents IS NULL OR amount_cents <> cents").select("id", "cents").distinct()
+    stated = to_cents(facts, carry=("amount_cents",))
+    return stated.where("cents IS NOT NULL AND (amount_cents IS NULL OR amount_cents <> cents)").select("id", "cents").distinct()

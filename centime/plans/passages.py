@@ -267,3 +267,29 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tagged = flatten(table(spark, sf_dir, "registry_raw"), **{n: table(spark, sf_dir, n) for n in REGISTRIES})
     return tagged.groupBy("registry", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'size' ELSE 'norm' END AS fault FROM embeddings WHERE len(embedding) <> 64 OR abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.006"""
+)
+def vector_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.operators.lookup import vector_faults as faults
+
+    return faults(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+
+
+@query("SELECT doc_id, source, title FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC) = 1")
+def latest_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.streaming.ingest import latest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "title", "loaded_at")
+    return latest(docs, ["doc_id"], "loaded_at").select("doc_id", "source", "title")
+
+
+@query("SELECT event_type, epoch_ms(CAST(epoch_ms(ts) // 3600000 * 3600000 AS BIGINT)) AS hour, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: event counts in windows, the same function batch or stream."""
+    from centime.streaming.ingest import events_by_window
+
+    windows = events_by_window(table(spark, sf_dir, "events"))
+    return windows.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", F.round("value", 4).alias("value"))

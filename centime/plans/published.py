@@ -369,3 +369,57 @@ def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = Window.orderBy("o_orderdate", "o_orderkey")  # 101 rows
     numbered = page.withColumn("place", F.row_number().over(whole) - 1).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > 100)
     return numbered.where("place < 100").drop("o_orderdate")
+
+
+@query(
+    f"""WITH {_POSITIONS}, m AS (SELECT n_nationkey AS k, path, cents, split_part(path, '/', 3) AS program, {_GONE} AS gone, starts_with(path, '2/') AS inside FROM p),
+w AS (SELECT * FROM m WHERE inside), x AS (SELECT count(DISTINCT program) AS expected_programs FROM w WHERE NOT gone),
+g AS (SELECT k, count(*) FILTER (gone) AS g, count(*) FILTER (NOT gone) AS members, CAST(sum(cents) FILTER (NOT gone) AS BIGINT) AS s, count(DISTINCT program) FILTER (NOT gone) AS programs FROM w GROUP BY 1)
+SELECT k, CASE WHEN members = 0 THEN 0 ELSE s END AS value, CASE WHEN members = 0 THEN 'excluded' WHEN s IS NULL THEN 'missing' WHEN programs < expected_programs THEN 'partial' ELSE 'ok' END AS status, members, programs, expected_programs FROM g, x"""
+)
+def position_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.operators.explorer import position_cells as build
+
+    rows = positions(spark, sf_dir).withColumn("program", F.element_at(F.split("path", "/"), 3)).withColumnRenamed("n_nationkey", "k")
+    return build(rows, "2", EXCLUDED, ["k"])
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT source_id, exercise FROM pdf_facts WHERE exercise IS NOT NULL), r AS (SELECT source_id, unnest(range(min(exercise), max(exercise) + 1)) AS y FROM s GROUP BY 1)
+SELECT r.source_id, CAST(y AS INTEGER) AS exercise FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source_id IS NOT DISTINCT FROM r.source_id AND s.exercise = y)"""
+)
+def missing_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.operators.lookup import missing_years as gaps
+
+    return gaps(table(spark, sf_dir, "pdf_facts").where("source_id IS NOT NULL"), ["source_id"], "exercise")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) + CASE WHEN l_discount <> 0 THEN CAST(round(l_discount * 100) AS BIGINT) END + CAST(round(l_tax * 100) AS BIGINT) AS total FROM lineitem")
+def strict_null_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.operators.lookup import strict_sum
+
+    wide = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cents("l_extendedprice").alias("a"), F.when(F.col("l_discount") != 0, cents("l_discount")).alias("b"), cents("l_tax").alias("c"))
+    return wide.select("l_orderkey", "l_linenumber", strict_sum("a", "b", "c").alias("total"))
+
+
+@query(
+    """WITH f AS (SELECT p_type AS label FROM part WHERE p_type IS NOT NULL GROUP BY 1), c AS (SELECT DISTINCT substr(p_type, 1, 4 + CAST(p_partkey % 9 AS INTEGER)) AS label FROM part)
+SELECT c.label, min(f.label) AS rescued FROM c JOIN f ON starts_with(f.label, c.label) WHERE length(c.label) >= 5 GROUP BY 1 HAVING count(*) = 1"""
+)
+def rescued_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.operators.lookup import rescue_labels
+
+    parts = table(spark, sf_dir, "part")
+    cut = parts.select(F.expr("substring(p_type, 1, CAST(4 + p_partkey % 9 AS INT))").alias("label"))
+    return rescue_labels(cut, parts.select(F.col("p_type").alias("label")), "label", least=5)
+
+
+@query(
+    """WITH u AS (SELECT c_nationkey AS k, c_mktsegment AS label, 0 AS r FROM customer UNION ALL SELECT s_nationkey, s_name, 1 FROM supplier WHERE s_nationkey % 2 = 0) SELECT k, arg_max(label, (r, label)) AS label FROM u GROUP BY 1"""
+)
+def nomenclature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centime.operators.lookup import nomenclature as labels
+
+    first = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("label"))
+    second = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("label"))
+    return labels([first, second], ["k"], "label")

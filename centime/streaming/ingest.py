@@ -1,7 +1,7 @@
 """Incremental intake of delivered parts: each part once, however often a run is repeated.
 
-The reference's analogue is a batch with checkpoints per part; here the file
-source's own log and an idempotent sink give the same.
+The file source's own log and an idempotent sink give what a batch with a
+checkpoint for each part would.
 """
 
 from __future__ import annotations
