@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: list[str] = []
+_written: list[str] = []
 
 
 def session(app: str = "centime", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,9 +58,19 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/centime/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediates that durable has written so far; for when no result of them will be read again."""
+    removed = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers, once for each context; they need no installation of it."""
     import zipfile
