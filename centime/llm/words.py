@@ -8,6 +8,7 @@ polynomial modulo 2**64, shifted to the run's start.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
@@ -84,8 +85,28 @@ def fold(codes: np.ndarray) -> np.ndarray:
     return folded
 
 
+#: Characters looked at in one go; a longer text is taken in parts, cut at blanks.
+PART = 1 << 22
+_blank = re.compile(r"\s")
+
+
+def _parts(text: str) -> list[str]:
+    cuts = [0]
+    while len(text) - cuts[-1] > PART:
+        blank = _blank.search(text, cuts[-1] + PART)
+        if not blank:
+            break
+        cuts.append(blank.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
 def words(texts: list[str | None]) -> Words:
     """The words of a list of texts; null texts have none."""
+    if any(t and len(t) > PART for t in texts):
+        found = [[words([part]).hash for part in _parts(t)] if t else [] for t in texts]
+        sizes = [sum(map(len, parts)) for parts in found]
+        joined = np.concatenate([np.empty(0, np.uint64), *(h for parts in found for h in parts)])
+        return Words(joined, np.repeat(np.arange(len(texts)), sizes), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
     codes, starts = code_points(texts)
     folded = fold(codes)
     kept = folded != MARK

@@ -31,3 +31,13 @@ def test_blocks_cover_everything():
     texts = ["a" * 10, None, "b" * 50, "", "c" * 5]
     assert list(blocks(texts, 12)) == [(0, 2), (2, 3), (3, 5)]
     assert list(blocks([], 12)) == []
+
+
+def test_very_long_texts_go_in_parts(monkeypatch):
+    from centime.llm import words as module
+
+    texts = ["mot été " * 300, None, "x" * 500, ""]
+    whole = words(texts)
+    monkeypatch.setattr(module, "PART", 100)
+    parts = words(texts)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
