@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centime.functions.lookalike import shape_of
+from centime.session import durable
 
 
 class Classes:
@@ -165,11 +166,11 @@ def same_look(facts: DataFrame, fields: tuple[str, ...] = ("raw", "row_label"),
     cells = formed.select(
         F.col(key).alias("id"), *within, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.col(f + "_form").alias("form")) for f in fields))).alias("cell")
     ).select("id", *within, "cell.field", "cell.text", "cell.form")
-    cells = cells.dropna(subset=[*within, "text", "id"])
+    cells = durable(cells.dropna(subset=[*within, "text", "id"]).withColumn("print", F.xxhash64("text")), "cells")
     group = [*within, "field", "form"]
     # groups with more than one string, and these strings; most groups have one and go no further
-    several = cells.groupBy(*group).agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select(*group)
-    cells = cells.join(several, group, "left_semi")
+    several = cells.groupBy(*group).agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least <> most").select(*group)
+    cells = durable(cells.drop("print").join(several, group, "left_semi"), "varied")
     strings = cells.select(*group, "text").distinct()
     pairs = strings.withColumnRenamed("text", "text_a").join(strings.withColumnRenamed("text", "text_b"), group).where("text_a < text_b")
     met = pairs.join(cells.withColumnsRenamed({"id": "x", "text": "text_a"}), [*group, "text_a"]).join(cells.withColumnsRenamed({"id": "y", "text": "text_b"}), [*group, "text_b"])
