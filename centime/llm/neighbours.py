@@ -29,7 +29,7 @@ TREES = 6
 #: Leaves visited for a vector over the whole forest, its own leaf in each tree among them.
 VISITS = 9
 #: Vectors of a leaf at most.
-LEAF = 96
+LEAF = 192
 #: Branchings by direction before median splits begin.
 DEPTH = 4
 #: Vectors the top of the trees is fitted on, at most.
