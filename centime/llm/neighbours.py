@@ -62,6 +62,7 @@ class Vectors:
         self.row = np.repeat(np.arange(len(sizes)), sizes)
         norm = np.sqrt(np.bincount(self.row, self.weight**2, minlength=len(sizes)))
         self.weight = self.weight / norm[self.row]
+        self.projected: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -83,8 +84,10 @@ class Vectors:
         return dims, falls - falls[:, :1]
 
     def projection(self, seed: int) -> np.ndarray:
-        """On one dense random direction."""
-        return np.bincount(self.row, self.weight * (_uniform(self.dim, 7919 + seed) - 0.5), minlength=len(self))
+        """On one dense random direction; kept, as many nodes of a level ask for it."""
+        if seed not in self.projected:
+            self.projected[seed] = np.bincount(self.row, self.weight * (_uniform(self.dim, 7919 + seed) - 0.5), minlength=len(self))
+        return self.projected[seed]
 
     def cosines(self, rows: np.ndarray) -> np.ndarray:
         """All cosines among some rows."""
@@ -200,7 +203,7 @@ def _visits(top: Top):
             # one queue of each vector over all trees; a leaf is visited once
             order = np.lexsort((leaf, fall, row))
             row, tree, leaf, fall, mine = row[order], tree[order], leaf[order], fall[order], mine[order]
-            _, again = np.unique(np.stack([row.astype(np.uint64), leaf]), axis=1, return_index=True)
+            _, again = np.unique(_join(leaf, row), return_index=True)
             again.sort()
             row, tree, leaf, mine = row[again], tree[again], leaf[again], mine[again]
             start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
