@@ -36,6 +36,8 @@ BITS = 384
 WIDTH = 5
 #: Texts of a tree's leaf; blocks up to SMALL texts are one leaf; blocks over HOT get chains first.
 LEAF, SMALL, HOT = 16, 48, 512
+#: Rounds in which groups are joined by single pairs before all that is left is verified.
+MERGES = 4
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,11 +314,20 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     groups = durable(components(links), "groups")
 
     def apart(some: DataFrame) -> DataFrame:
-        """Pairs whose ends are in no common group yet."""
+        """Pairs whose ends are in no common group yet, with the groups (a text in none is its own)."""
         met = some.join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        return met.where("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
-
-    rest = apart(pairs.join(first, ["a", "b"], "left_anti"))
+        return met.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+
+    rest = durable(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
+    for _ in range(MERGES):
+        # while much is left, groups meet by one pair each; most pairs then lie within a group
+        if rest.count() <= 2 * groups.count():
+            break
+        one = rest.groupBy(F.greatest("ra", "rb").alias("group")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
+        links = durable(links.unionByName(_verified(one, sets, threshold)), "links")
+        groups = durable(components(links), "groups")
+        rest = durable(apart(rest.select("a", "b").join(one, ["a", "b"], "left_anti")), "rest")
+    rest = rest.select("a", "b")
     hot = found.where("b IS NULL").select("block", F.col("a").alias("seq"), "size", "bitmap")
     if hot.take(1):
         again = hot.join(groups.withColumnsRenamed({"node": "seq", "root": "group"}), "seq", "left")
