@@ -38,6 +38,8 @@ WIDTH = 5
 LEAF, SMALL, HOT = 16, 48, 512
 #: Rounds in which groups are joined by single pairs before all that is left is verified.
 MERGES = 4
+#: Pairs left for each grouped text above which these rounds cost less than verifying all.
+CROWDED = 20
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,7 +323,7 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     rest = durable(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
     for _ in range(MERGES):
         # while much is left, groups meet by one pair each; most pairs then lie within a group
-        if rest.count() <= 2 * groups.count():
+        if rest.count() <= CROWDED * groups.count():
             break
         one = rest.groupBy(F.greatest("ra", "rb").alias("group")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
         links = durable(links.unionByName(_verified(one, sets, threshold)), "links")
