@@ -1,12 +1,17 @@
 """Near-duplicate texts in groups: signature trees over blocks of likely partners.
 
-A text is the set of its word triples. Texts that share all of some few least
-hashes meet in a block; a text is in BANDS blocks. Within a block a signature
-tree finds the pairs that may be similar: a node holds the OR of the token
-bitmaps below it and the range of sizes; two trees' nodes are walked together,
-and a pair of nodes is dropped as soon as even the greatest possible overlap is
-too small. What is left is verified on the whole sets; groups are the connected
-components of verified links.
+A text is the set of its word triples, in one order for all texts, rare ones
+first. Two sets that reach the threshold share one of the first triples of both:
+of n triples they have at least threshold * n in common, so not all of these are
+among the last. A text is in the block of each of its first triples, and no pair
+is missed. In the block of the first triple that two texts share, what they have
+in common lies from there on in both; where too little is left, the pair is
+dropped. Blocks up to SMALL texts are walked in order of size, in larger ones a
+signature tree finds the pairs that may be similar: a node holds the OR of the
+token bitmaps below it and the range of sizes; two trees' nodes are walked
+together, and a pair of nodes is dropped as soon as even the greatest possible
+overlap is too small. What is left is verified on the whole sets; groups are the
+connected components of verified links.
 
 First every text is verified against its smallest candidate only; candidates that
 end up in one group need no more work. The others are verified after that, so
@@ -27,30 +32,25 @@ from centime.llm.words import blocks, mix, words
 from centime.session import durable
 
 THRESHOLD = 0.6
-#: Least hashes of a set; these of a block; blocks of a text. At a likeness of 0.6 a pair shares no block with
-#: probability (1 - 0.6**4)**56 = 0.0004, at 0.7 with 0.0000002.
-HASHES, ROWS, BANDS = 96, 4, 56
+#: Texts whose triples are counted for the order, about; triples that have a place in it by their count, the others come first.
+#: Any order finds every pair; a poor one only makes large blocks.
+SAMPLE, FREQUENT = 20_000, 200_000
+#: Allowance for rounding where sizes are compared.
+SLACK = 1e-6
 #: Bits of a token bitmap.
-BITS = 384
+BITS = 768
 #: Bytes of a stored token.
 WIDTH = 5
-#: Texts of a tree's leaf; blocks up to SMALL texts are one leaf; blocks over HOT get chains first.
-LEAF, SMALL, HOT = 16, 48, 512
+#: Texts of a tree's leaf; blocks up to SMALL texts are one leaf; blocks over HOT with more than PLENTY candidates a text get chains first.
+LEAF, SMALL, HOT, PLENTY = 16, 256, 512, 8
+#: Pairs of nodes, pairs of texts, and texts of whole blocks that are compared at once.
+NODES, TEXTS, ROWS = 512, 30_000, 50_000
 #: Rounds in which groups are joined by single pairs before all that is left is verified.
 MERGES = 4
 #: Pairs left for each grouped text above which these rounds cost less than verifying all.
 CROWDED = 20
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds and factors of the hashes, and the hashes of each block: fixed by a generator of fixed seed."""
-    draw = np.random.default_rng(20_240_601)
-    seeds = draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-    factors = draw.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    bands = np.stack([draw.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
-    return seeds, factors, bands
-
-
 def shingle_sets(texts: list[str | None], length: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, first): of each text the distinct hashes of `length` words in a row, in order; first has where each begins."""
     found = words(texts)
@@ -93,43 +93,80 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.binary())], ["seq", "tokens"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, seq, size, bitmap) of each set and block."""
-    seeds, factors, bands = _constants()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            sets = batch.column(1).to_pylist()
-            tokens = unpack(b"".join(sets))
-            sizes = np.array([len(s) // WIDTH for s in sets], np.int64)
-            first = np.cumsum(sizes) - sizes
-            least = np.empty((len(sets), HASHES), np.uint64)
-            for k in range(HASHES):
-                least[:, k] = np.minimum.reduceat((tokens ^ seeds[k]) * factors[k], first)
-            bits = np.zeros((len(sets), BITS), np.uint8)
-            bits[np.repeat(np.arange(len(sets)), sizes), (tokens % np.uint64(BITS)).astype(np.int64)] = 1
-            bitmap = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(sets), [None, pa.py_buffer(np.packbits(bits, axis=1).tobytes())]).cast(pa.binary())
-            for band in range(BANDS):
-                key = np.full(len(sets), band + 1, np.uint64)
-                for k in bands[band]:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array(sizes.astype(np.int32)), bitmap], ["block", "seq", "size", "bitmap"])
-
-
-POSTINGS = "block bigint, seq bigint, size int, bitmap binary"
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the sets of each batch."""
+    for batch in batches:
+        token, n = np.unique(unpack(b"".join(batch.column(0).to_pylist())), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, ranks): the most frequent tokens of a sample of the sets, in order, and their places by count, from 1."""
+    step = -(-sets.count() // SAMPLE) or 1
+    some = sets.where(F.pmod(F.xxhash64("seq"), F.lit(step)) == 0).select("tokens")
+    counts = some.mapInArrow(_counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    token, n = (top.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(token)
+    _, rank = np.unique(n, return_inverse=True)
+    return token[order].astype(np.uint64), rank[order].astype(np.uint64) + np.uint64(1)
+
+
+def first_tokens(tokens: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, set, rest): of each set the tokens of which similar sets share one; rest counts the set's tokens from there on.
+
+    Two sets with the threshold of their union in common have at least threshold
+    * n of either's n tokens in common, so not all of these are among the last
+    threshold * n - 1.
+    """
+    known, ranks = frequent
+    place = np.zeros(len(tokens), np.uint64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        place = np.where(known[at] == tokens, ranks[at], place)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(place << np.uint64(8 * WIDTH) | tokens)
+    order = order[np.argsort(owner[order], kind="stable")]
+    rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))
+    first = rest >= np.repeat(np.maximum(np.ceil(threshold * sizes - SLACK), 1), sizes)
+    return tokens[order][first], owner[first], rest[first]
+
+
+def _postings(frequent, threshold: float):  # noqa: ANN001
+    """(block, seq, size, bitmap, rest) of each set and block; frequent is broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = batch.column(1).to_pylist()
+                tokens = unpack(b"".join(sets))
+                sizes = np.array([len(s) // WIDTH for s in sets], np.int64)
+                bits = np.zeros((len(sets), BITS), np.uint8)
+                bits[np.repeat(np.arange(len(sets)), sizes), (tokens % np.uint64(BITS)).astype(np.int64)] = 1
+                block, owner, rest = first_tokens(tokens, sizes, frequent.value, threshold)
+                bitmap = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(block), [None, pa.py_buffer(np.packbits(bits, axis=1)[owner].tobytes())]).cast(pa.binary())
+                columns = [pa.array(block.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(sizes[owner].astype(np.int32)), bitmap, pa.array(rest.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "seq", "size", "bitmap", "rest"])
+
+    return run
+
+
+POSTINGS = "block bigint, seq bigint, size int, bitmap binary, rest int"
 #: A pair (a, b), or with b null a text of a block that has to be walked again.
-FOUND = "a bigint, b bigint, block bigint, size int, bitmap binary"
-FOUND_NAMES = ["a", "b", "block", "size", "bitmap"]
+FOUND = "a bigint, b bigint, block bigint, size int, bitmap binary, rest int"
+FOUND_NAMES = ["a", "b", "block", "size", "bitmap", "rest"]
 
 
 class Tree:
-    """A signature tree over some texts: levels of nodes, each with the OR of its bitmaps, its sizes, and its one group or -1."""
+    """A signature tree over some texts: levels of nodes, each with the OR of its bitmaps, its sizes, its one group or -1, and the most that an overlap may have."""
 
-    def __init__(self, bitmap: np.ndarray, size: np.ndarray, group: np.ndarray):
+    def __init__(self, bitmap: np.ndarray, size: np.ndarray, group: np.ndarray, rest: np.ndarray | None = None):
         # like texts next to each other: by group, then size, then bitmap
         self.order = np.lexsort((*bitmap.T[::-1], size, group))
         self.bitmap, self.size, self.group = bitmap[self.order], size[self.order], group[self.order]
-        ones, every, low, high, label = self.bitmap, self.bitmap, self.size, self.size, self.group
+        self.rest = self.size if rest is None else rest[self.order]
+        ones, every, low, high, label, most = self.bitmap, self.bitmap, self.size, self.size, self.group, self.rest
         self.levels = []
         fan = LEAF
         while True:
@@ -138,7 +175,8 @@ class Tree:
             low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
             same = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
             label = np.where(same, label[starts], -1)
-            self.levels.append((ones, every, low, high, label))
+            most = np.maximum.reduceat(most, starts)
+            self.levels.append((ones, every, low, high, label, most))
             if len(starts) == 1:
                 break
             fan = 4
@@ -149,11 +187,13 @@ class Tree:
         yield from self._down(len(self.levels) - 1, a, b, threshold)
 
     def _down(self, level: int, a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(a) > 4096:
-            for at in range(0, len(a), 4096):
-                yield from self._down(level, a[at : at + 4096], b[at : at + 4096], threshold)
+        if len(a) > NODES:
+            for at in range(0, len(a), NODES):
+                yield from self._down(level, a[at : at + NODES], b[at : at + NODES], threshold)
             return
-        ones, every, low, high, label = self.levels[level]
+        ones, every, low, high, label, most = self.levels[level]
+        kept = enough_left(low, most, a, b, threshold)
+        a, b = a[kept], b[kept]
         kept = may_match(ones[a], every[a], low[a], high[a], ones[b], every[b], low[b], high[b], threshold)
         kept &= (label[a] != label[b]) | (label[a] < 0)
         a, b = a[kept], b[kept]
@@ -168,6 +208,8 @@ class Tree:
         if level:
             yield from self._down(level - 1, left, right, threshold)
             return
+        kept = enough_left(self.size, self.rest, left, right, threshold)
+        left, right = left[kept], right[kept]
         kept = texts_may_match(self.bitmap, self.size, left, right, threshold)
         kept &= (self.group[left] != self.group[right]) | (self.group[left] < 0)
         yield self.order[left[kept]], self.order[right[kept]]
@@ -185,13 +227,23 @@ def may_match(ones_x, every_x, low_x, high_x, ones_y, every_y, low_y, high_y, th
     return overlap >= threshold / (1 + threshold) * (low_x + low_y) - 1e-9
 
 
+def enough_left(size: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a and b reach the threshold if all they share lies within the rest of both."""
+    return np.minimum(rest[a], rest[b]) >= threshold / (1 + threshold) * (size[a] + size[b]) - SLACK
+
+
 def texts_may_match(bitmap: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """may_match of single texts a and b."""
-    return may_match(bitmap[a], bitmap[a], size[a], size[a], bitmap[b], bitmap[b], size[b], size[b], threshold)
+    kept = np.empty(len(a), bool)
+    for at in range(0, len(a), TEXTS):
+        i, j = a[at : at + TEXTS], b[at : at + TEXTS]
+        x, y = bitmap[i], bitmap[j]
+        kept[at : at + TEXTS] = may_match(x, x, size[i], size[i], y, y, size[j], size[j], threshold)
+    return kept
 
 
-def _block_pairs(block, seq, size, bitmap, group, threshold: float, again: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Candidates of whole blocks, sorted by block."""
+def _block_pairs(block, seq, size, bitmap, rest, group, threshold: float, again: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Candidates of whole blocks, sorted by block and size."""
     edge = np.concatenate([[True], block[1:] != block[:-1]])
     starts = np.flatnonzero(edge)
     counts = np.diff(np.append(starts, len(block)))
@@ -201,35 +253,50 @@ def _block_pairs(block, seq, size, bitmap, group, threshold: float, again: bool)
         pairs = np.unique(np.stack([low, high], axis=1)[low < high], axis=0)
         count = len(pairs)
         ends = [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*ends, pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())], FOUND_NAMES)
+        return pa.RecordBatch.from_arrays([*ends, pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary()), pa.nulls(count, pa.int32())], FOUND_NAMES)
 
     def waiting(begin: int, count: int) -> pa.RecordBatch:
         some = slice(begin, begin + count)
         rows = [x.tobytes() for x in bitmap[some]]
-        return pa.RecordBatch.from_arrays([pa.array(seq[some]), pa.nulls(count, pa.int64()), pa.array(block[some]), pa.array(size[some].astype(np.int32)), pa.array(rows, pa.binary())], FOUND_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(seq[some]), pa.nulls(count, pa.int64()), pa.array(block[some]), pa.array(size[some].astype(np.int32)), pa.array(rows, pa.binary()), pa.array(rest[some].astype(np.int32))], FOUND_NAMES)
 
-    # small blocks: one leaf each, all of them at once by the distance of the two texts in the block
+    # small blocks: all of them at once by the distance of the two texts in the block, as long as the larger one is not too large
     small = (counts > 1) & (counts <= SMALL)
     place = np.arange(len(block)) - np.repeat(starts, counts)
     left_in = np.where(np.repeat(small, counts), np.repeat(counts, counts) - place - 1, 0)
     left_a, left_b = [], []
-    for step in range(1, int(left_in.max()) + 1 if len(left_in) else 0):
-        a = np.flatnonzero(left_in >= step)
+    near, step = np.flatnonzero(left_in), 1
+    while len(near):
+        near = near[size[near] >= threshold * size[near + step] - SLACK]
+        kept = enough_left(size, rest, near, near + step, threshold)
+        a = near[kept]
         b = a + step
         kept = (group[a] != group[b]) | (group[a] < 0)
         a, b = a[kept], b[kept]
         kept = texts_may_match(bitmap, size, a, b, threshold)
         left_a.append(a[kept])
         left_b.append(b[kept])
+        step += 1
+        near = near[left_in[near] >= step]
     if left_a:
         yield out(np.concatenate(left_a), np.concatenate(left_b))
     for begin, count in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
-        tree = Tree(bitmap[begin : begin + count], size[begin : begin + count], group[begin : begin + count])
+        tree = Tree(bitmap[begin : begin + count], size[begin : begin + count], group[begin : begin + count], rest[begin : begin + count])
         if count > HOT and not again:
+            held, total = [], 0
+            for a, b in tree.pairs(threshold):
+                held.append((a, b))
+                total += len(a)
+                if total > PLENTY * count:
+                    break
+            if total <= PLENTY * count:
+                for a, b in held:
+                    yield out(begin + a, begin + b)
+                continue
             # chains of growing step join what is alike at little cost; the rest of the block follows when groups are known
             for step in 1 << np.arange(int(count - 1).bit_length()):
                 a, b = tree.order[:-step], tree.order[step:]
-                kept = texts_may_match(bitmap, size, begin + a, begin + b, threshold)
+                kept = enough_left(size, rest, begin + a, begin + b, threshold) & texts_may_match(bitmap, size, begin + a, begin + b, threshold)
                 yield out(begin + a[kept], begin + b[kept])
             yield waiting(begin, count)
             continue
@@ -238,24 +305,25 @@ def _block_pairs(block, seq, size, bitmap, group, threshold: float, again: bool)
 
 
 def _candidates(threshold: float, again: bool):
-    """Walks batches sorted by block; the block at the end of a batch waits for the next one."""
+    """Walks batches sorted by block and size; the block at the end of a batch waits for the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(part: pa.Table) -> Iterator[pa.RecordBatch]:
             if not part.num_rows:
                 return
-            block, seq, size, group = (part.column(i).to_numpy() for i in (0, 1, 2, 4))
+            block, seq, size, rest, group = (part.column(i).to_numpy() for i in (0, 1, 2, 4, 5))
             raw = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(block), BITS // 8)
             edge = np.concatenate([[True], block[1:] != block[:-1]])
             alone = edge & np.append(edge[1:], True)
-            yield from _block_pairs(block[~alone], seq[~alone], size[~alone].astype(np.int64), np.ascontiguousarray(raw[~alone]).view(np.uint64), group[~alone], threshold, again)
+            bitmap = np.ascontiguousarray(raw[~alone]).view(np.uint64)
+            yield from _block_pairs(block[~alone], seq[~alone], size[~alone].astype(np.int64), bitmap, rest[~alone].astype(np.int64), group[~alone], threshold, again)
 
         held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count < 100_000:
+            if count < ROWS:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
             block = whole.column(0).to_numpy()
@@ -305,9 +373,10 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     copies = durable(copies.select(F.col("head").alias("a"), F.col("seq").alias("b")).distinct(), "copies")
     heads = sets.select("seq", "tokens").join(copies.select(F.col("b").alias("seq")), "seq", "left_anti")
 
-    postings = heads.mapInArrow(_postings, POSTINGS)
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(sets))
+    postings = heads.mapInArrow(_postings(frequent, threshold), POSTINGS)
     no_group = F.lit(-1).cast("bigint").alias("group")
-    blocked = postings.select("block", "seq", "size", "bitmap", no_group).repartition("block").sortWithinPartitions("block")
+    blocked = postings.select("block", "seq", "size", "bitmap", "rest", no_group).repartition("block").sortWithinPartitions("block", "size")
     found = durable(blocked.mapInArrow(_candidates(threshold, again=False), FOUND), "candidates")
     pairs = durable(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
 
@@ -330,10 +399,10 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
         groups = durable(components(links), "groups")
         rest = durable(apart(rest.select("a", "b").join(one, ["a", "b"], "left_anti")), "rest")
     rest = rest.select("a", "b")
-    hot = found.where("b IS NULL").select("block", F.col("a").alias("seq"), "size", "bitmap")
+    hot = found.where("b IS NULL").select("block", F.col("a").alias("seq"), "size", "bitmap", "rest")
     if hot.take(1):
         again = hot.join(groups.withColumnsRenamed({"node": "seq", "root": "group"}), "seq", "left")
-        again = again.select("block", "seq", "size", "bitmap", F.coalesce("group", F.lit(-1)).alias("group")).repartition("block").sortWithinPartitions("block")
+        again = again.select("block", "seq", "size", "bitmap", "rest", F.coalesce("group", F.lit(-1)).alias("group")).repartition("block").sortWithinPartitions("block", "size")
         more = again.mapInArrow(_candidates(threshold, again=True), FOUND).select("a", "b").distinct()
         rest = rest.unionByName(more).distinct()
     links = links.unionByName(_verified(rest, sets, threshold)).unionByName(copies)

@@ -96,3 +96,35 @@ def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (5, 4)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_no_pair_just_above_the_threshold_is_missed(spark):
+    # 700 pairs of 40 triples each, of which they share 30: likeness 0.6 exactly; 4 of 96 hashes, 56 ways, miss some of so many
+    rows = []
+    for k in range(700):
+        shared, (a, b) = [f"s{k}x{i}" for i in range(32)], [[f"{side}{k}x{i}" for i in range(10)] for side in "ab"]
+        rows += [(2 * k, " ".join(shared + a)), (2 * k + 1, " ".join(shared + b))]
+    sets = {k: triples(t) for k, t in rows}
+    assert all(len(sets[k] & sets[k + 1]) == 30 and len(sets[k] | sets[k + 1]) == 50 for k in range(0, 1400, 2))
+    df = spark.createDataFrame(rows, "seq bigint, text string")
+    assert {r["seq"]: r["group"] for r in near_duplicates(df).collect()} == {k: k - k % 2 for k in range(1400)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.85])
+def test_similar_sets_share_a_first_token_with_enough_left(threshold):
+    draw = np.random.default_rng(7)
+    known = np.sort(draw.choice(400, 60, replace=False)).astype(np.uint64)
+    frequent = known, draw.integers(1, 9, 60).astype(np.uint64)
+    sets = [np.sort(draw.choice(400, n, replace=False)).astype(np.uint64) for n in draw.integers(1, 60, 60)]
+    sets += [np.unique(np.concatenate([s[: draw.integers(len(s) // 2, len(s) + 1)], draw.choice(400, draw.integers(1, 25)).astype(np.uint64)])) for s in sets for _ in range(4)]
+    sizes = np.array([len(s) for s in sets])
+    token, owner, rest = signatures.first_tokens(np.concatenate(sets), sizes, frequent, threshold)
+    held = [{t: r for t, r in zip(token[owner == i].tolist(), rest[owner == i].tolist(), strict=True)} for i in range(len(sets))]
+    similar = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= threshold * (sizes[i] + sizes[j] - common) - 1e-9:
+                similar += 1
+                assert any(min(held[i][t], held[j][t]) >= common for t in held[i].keys() & held[j].keys())
+    assert similar > 5
