@@ -41,10 +41,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of every passage, those within the limit included."""
-    from centime.llm.splitting import split_texts
+    """The pieces of every text of passages and of occurrences' JSON, those within the limit included."""
+    from centime.llm.splitting import pieces
 
-    return split_texts(table(spark, sf_dir, "passages"), "id", "text")
+    return pieces(table(spark, sf_dir, "passages"), table(spark, sf_dir, "occurrences"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

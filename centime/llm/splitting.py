@@ -214,3 +214,12 @@ def oversized(passages: DataFrame, occurrences: DataFrame, limit: int = LIMIT, o
         for df, column, item, in_json in ((passages, "text", "passage", False), (occurrences, "chunk_json", "chunk", True))
     ]
     return cut[0].unionByName(cut[1]).distinct()
+
+
+def pieces(passages: DataFrame, occurrences: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(item, id, piece, ...): the pieces of the texts of passages ('passage') and of occurrences' JSON ('chunk'), as split_texts gives them."""
+    whole = [
+        split_texts(df, "id", column, limit, overlap, in_json=in_json).select(F.lit(item).alias("item"), "*")
+        for df, column, item, in_json in ((passages, "text", "passage", False), (occurrences, "chunk_json", "chunk", True))
+    ]
+    return whole[0].unionByName(whole[1])

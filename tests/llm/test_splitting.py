@@ -68,3 +68,23 @@ def test_cases(spark):
 def test_long_texts_in_batches():
     assert count_tokens(["a b" * 10, "x."]).tolist() == [11, 2]
     assert np.all(count_tokens(["", None]) == 0)
+
+
+def test_pieces_come_of_passages_and_chunks(spark, tmp_path):
+    from centime.llm.queries import p6_pieces
+
+    long = "".join(f"mot{i} " for i in range(1700))
+    spark.createDataFrame([("a", long), ("b", "court")], "id string, text string").write.parquet(str(tmp_path / "passages.parquet"))
+    chunks = [("a", json.dumps({"text": long})), ("y", json.dumps({"text": "court"})), ("z", "{"), ("w", None)]
+    spark.createDataFrame(chunks, "id string, chunk_json string").write.parquet(str(tmp_path / "occurrences.parquet"))
+    got = p6_pieces(spark, str(tmp_path)).collect()
+    found = {k: sorted((r for r in got if (r["item"], r["id"]) == k), key=lambda r: r["piece"]) for k in {(r["item"], r["id"]) for r in got}}
+    assert set(found) == {("passage", "a"), ("passage", "b"), ("chunk", "a"), ("chunk", "y")}
+    for item in ("passage", "chunk"):
+        assert len(found[item, "a"]) == found[item, "a"][0]["pieces"] > 1
+        assert all(r["text"] == long[r["char_begin"] : r["char_end"]] and r["tokens"] <= 800 for r in found[item, "a"])
+        covered = 0
+        for r in found[item, "a"]:
+            assert r["char_begin"] <= covered <= r["char_end"]
+            covered = r["char_end"]
+        assert covered == len(long)
