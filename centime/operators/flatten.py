@@ -135,10 +135,11 @@ def flatten(raw: DataFrame | None = None, tags: tuple[str, ...] = tuple(SCHEMAS)
 
 
 def table_of(tagged: DataFrame, tag: str) -> DataFrame:
-    """One flat table: the keys, and the tag's schema applied to the payload."""
+    """One flat table: the keys, and the tag's schema applied to the payload; a member named as a key gets the tag before its name."""
     keys = ["registry", "record_id", "item_no", "field", "child_no", "parent_tag", "parent_no"]
     body = tagged.where(F.col("tag") == tag).withColumn("row", F.from_json("payload", SCHEMAS[tag]))
-    return body.select(*keys, "row.*")
+    members = body.schema["row"].dataType.names
+    return body.select(*keys, *(F.col("row")[m].alias(f"{tag}_{m}" if m in keys else m) for m in members))
 
 
 def write_tables(tagged: DataFrame, path: str) -> None:

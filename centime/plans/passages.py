@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from centime.functions import scalars
 from centime.operators import hierarchy, reconcile, search, status, textprep
+from centime.operators.flatten import SCHEMAS
 from centime.session import table
 
 QUERIES, SQL = {}, {}
@@ -262,13 +263,28 @@ def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each flat table below the registries, all from one pass."""
+    """Number of rows of each flat table below the registries, all from one pass; registry_TAG has the rows."""
     from centime.operators.flatten import REGISTRIES, flatten
 
     tagged = flatten(table(spark, sf_dir, "registry_raw"), **{n: table(spark, sf_dir, n) for n in REGISTRIES})
     return tagged.groupBy("registry", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _registry_table(tag: str) -> None:
+    def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from centime.operators.flatten import REGISTRIES, flatten, table_of
+
+        return table_of(flatten(table(spark, sf_dir, "registry_raw"), tags=(tag,), **{n: table(spark, sf_dir, n) for n in REGISTRIES}), tag)
+
+    flat.__name__ = f"registry_{tag}"
+    flat.__doc__ = f"The flat table of tag {tag} below the registries, with its keys and columns."
+    query()(flat)
+
+
+for _tag in SCHEMAS:
+    _registry_table(_tag)
+
+
 @query(
     """SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'size' ELSE 'norm' END AS fault FROM embeddings WHERE len(embedding) <> 64 OR abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.006"""
 )

@@ -55,3 +55,20 @@ def test_typed_tables_and_children_of_children(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("tag = 'subaction'").count() == 2
     empty = amounts_titles_labels(raw(spark, ("x", "[]")).where("false"), action_groups=groups.where("false"))
     assert empty.collect() == []
+
+
+def test_each_flat_table_is_a_query(spark, tmp_path):
+    from centime.operators.flatten import SCHEMAS
+    from centime.plans.queries import queries
+
+    item = {"stage": "PLF", "parents": [{"program_label": "p", "cents": 3}, {"title": "t", "field": "f"}], "actions": [{"code": "01", "subactions": [{"code": "01.1", "euros": 5}]}], "comparisons": [{"edition": "1", "values_cents": {"RECETTES": 7}}]}
+    raw(spark, ("actions-p174", json.dumps([item, item]))).write.parquet(str(tmp_path / "registry_raw.parquet"))
+    for name in ("source_reconciliation", "delivery_check", "action_groups"):
+        spark.createDataFrame([(4, {"program_label": name})], "record_id bigint, parent struct<program_label:string>").write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = {tag: queries()[f"registry_{tag}"](spark, str(tmp_path)).collect() for tag in SCHEMAS}
+    assert {tag: len(rows) for tag, rows in found.items()} == {"item": 5, "comparison": 2, "document": 0, "evidence": 0, "parent": 7, "action": 2, "subaction": 2}
+    assert sorted((r["record_id"], r["item_no"], r["child_no"], r["program_label"], r["title"], r["cents"]) for r in found["parent"] if r["field"] == "parents" and r["child_no"] == 0) == [(0, 0, 0, "p", None, "3"), (0, 1, 0, "p", None, "3")]
+    assert {(r["parent_tag"], r["parent_no"], r["code"], r["euros"]) for r in found["subaction"]} == {("action", 0, "01.1", "5")}
+    assert {(r["edition"], r["values_cents"]["RECETTES"]) for r in found["comparison"]} == {("1", "7")}
+    assert sum(r["parent_field"] == "f" for r in found["parent"]) == 2
+    assert all(len(set(queries()[f"registry_{tag}"](spark, str(tmp_path)).columns)) == len(queries()[f"registry_{tag}"](spark, str(tmp_path)).columns) for tag in SCHEMAS)
