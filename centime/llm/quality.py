@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from centime.llm.words import blocks, code_points, hash_words, words
+from centime.llm.words import _powers, blocks, code_points, fold_table, hash_words, mix, words
 from centime.session import durable
 
 #: Labelled rows used to place the thresholds, at most.
@@ -84,8 +84,8 @@ _ending, _bullets = _flags(ENDING), _flags(BULLETS)
 
 def statistics(texts: list[str | None], common: np.ndarray) -> dict[str, np.ndarray]:
     """Each statistic of each text; common: sorted hashes of the common words. A share of nothing is 0."""
-    codes, starts = code_points(texts)
-    codes = np.minimum(codes, 0xFFFF)
+    full, starts = code_points(texts)
+    codes = np.minimum(full, 0xFFFF)
     kind = _classes()[codes]
     count = len(texts)
 
@@ -114,12 +114,19 @@ def statistics(texts: list[str | None], common: np.ndarray) -> dict[str, np.ndar
     lines = np.bincount(owner, minlength=count)
     ended = np.bincount(owner[_ending[codes[tail]]], minlength=count)
     bulleted = np.bincount(owner[_bullets[codes[head]] | (kind[head] == DIGIT)], minlength=count)
-    # lines that equal another line of their text but for digits: their first words agree
+    # lines that equal another line of their text but for digits, case, accents and the width of gaps, by a hash of their characters
     repeated = np.zeros(count, np.int64)
     if len(head):
-        sizes = (tail - head).astype(np.int64)
-        shape = np.concatenate([[0], np.cumsum(np.where(kind == LETTER, codes, 0).astype(np.int64))])
-        key = (owner.astype(np.int64) << 40) ^ ((shape[tail + 1] - shape[head]) << 8) ^ (sizes >> 6)
+        gap = kind == SPACE
+        gap[1:] &= kind[:-1] != SPACE
+        counted = gap | (kind == LETTER) | (kind == SYMBOL) | (kind == PUNCTUATION)
+        folded = np.where(kind == LETTER, fold_table()[codes], codes)
+        folded = np.where(gap, ord(" "), np.where((folded > 1) & (full <= 0xFFFF), folded, full))
+        place = np.concatenate([[0], np.cumsum(counted)])
+        power, inverse = _powers(1 << max(16, len(full).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(counted, folded.astype(np.uint64) * power[place[:-1]], np.uint64(0)))])
+        value = mix((sums[tail + 1] - sums[head]) * inverse[place[head]])
+        key = mix(value + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         _, which, times = np.unique(key, return_inverse=True, return_counts=True)
         repeated = np.bincount(owner[times[which] > 1], minlength=count)
     return {

@@ -57,3 +57,12 @@ def test_learning_keeps_clear_patterns_apart():
     p = model.posterior(patterns)[:, 0]
     assert p[0] > 0.9 and p[1] < 0.5 and p[2] < 0.5
     assert set(thresholds([])) == set(VOTERS)
+
+
+def test_only_equal_lines_are_repeated():
+    draw = random.Random(3)
+    lines = [f"{''.join(draw.choice('abcdefgh') for _ in range(12))} suite" for _ in range(3000)]
+    assert len(set(lines)) == 3000
+    texts = ["\n".join(lines), "ab c\nba c\ncb a", "***\n---\n+++", "Page 1 / 20\nautre\npage  12 / 20", "même\nMEME", "seul", "seul"]
+    shares = statistics(texts, np.zeros(0, np.uint64))["line_repeat_share"]
+    assert shares.tolist() == [0, 0, 0, 2 / 3, 1, 0, 0]
