@@ -153,7 +153,7 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.content_digest(table(spark, sf_dir, "pdf_facts").drop("pdf_bbox"))
+    return reconcile.content_digest(table(spark, sf_dir, "pdf_facts"))
 
 
 @query(

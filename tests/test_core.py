@@ -110,3 +110,12 @@ def test_search(spark):
     docs = spark.createDataFrame([(1, "Fonds de solidarité"), (2, "fonds"), (3, None), (4, "")], "k bigint, t string")
     assert [r["k"] for r in search.bm25(docs, "k", "t", ["fonds", "solidarite"]).collect()] == [1]
     assert search.query_terms("Le Fonds de solidarité, le fonds") == ["fonds", "solidarite"]
+
+
+def test_digest_tells_boxes_apart(spark, tmp_path):
+    from centime.plans.queries import queries
+
+    for name, box in (("a", [1.0, 2.0]), ("b", [1.0, 2.0]), ("c", [1.0, 3.0]), ("d", None)):
+        spark.createDataFrame([(1, "x", box)], "id bigint, raw string, pdf_bbox array<double>").write.parquet(str(tmp_path / name / "pdf_facts.parquet"))
+    a, b, c, d = (tuple(queries()["content_digest"](spark, str(tmp_path / name)).first()) for name in "abcd")
+    assert a == b and len({a, c, d}) == 3
