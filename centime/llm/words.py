@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -85,28 +86,13 @@ def fold(codes: np.ndarray) -> np.ndarray:
     return folded
 
 
-#: Characters looked at in one go; a longer text is taken in parts, cut at blanks.
+#: Characters looked at in one go; a longer text is taken in parts, cut before a blank where there is one.
 PART = 1 << 22
 _blank = re.compile(r"\s")
 
 
-def _parts(text: str) -> list[str]:
-    cuts = [0]
-    while len(text) - cuts[-1] > PART:
-        blank = _blank.search(text, cuts[-1] + PART)
-        if not blank:
-            break
-        cuts.append(blank.start())
-    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
-
-
-def words(texts: list[str | None]) -> Words:
-    """The words of a list of texts; null texts have none."""
-    if any(t and len(t) > PART for t in texts):
-        found = [[words([part]).hash for part in _parts(t)] if t else [] for t in texts]
-        sizes = [sum(map(len, parts)) for parts in found]
-        joined = np.concatenate([np.empty(0, np.uint64), *(h for parts in found for h in parts)])
-        return Words(joined, np.repeat(np.arange(len(texts)), sizes), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+def _runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(value, begin, end, starts, size): the words' polynomial values and places among the folded characters without marks, and each text's."""
     codes, starts = code_points(texts)
     folded = fold(codes)
     kept = folded != MARK
@@ -118,13 +104,76 @@ def words(texts: list[str | None]) -> Words:
     if len(inside) and inside[0]:
         edge = np.concatenate([[0], edge])
     begin, end = edge[0::2], edge[1::2]
-    size = 1 << max(16, int(len(folded)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _powers(1 << max(16, int(len(folded)).bit_length()))
     sums = np.zeros(len(folded) + 1, np.uint64)
     np.cumsum(folded.astype(np.uint64) * power[: len(folded)], out=sums[1:])
-    value = mix((sums[end] - sums[begin]) * inverse[begin])
-    first = np.searchsorted(begin, starts)
-    return Words(value, np.repeat(np.arange(len(texts)), np.diff(first)), first)
+    return (sums[end] - sums[begin]) * inverse[begin], begin, end, starts, len(folded) - 1
+
+
+def _parts_at(text: str, at: int) -> bool:
+    """Whether nothing of a text is composed across a place."""
+    pair = text[at - 1 : at + 1]
+    return not unicodedata.combining(pair[1]) and unicodedata.normalize("NFC", pair) == pair
+
+
+def _parts(text: str) -> Iterator[str]:
+    """Parts of at most PART characters: cut before the last blank, and where there is none, within the word."""
+    at = 0
+    while len(text) - at > PART:
+        window = text[at : at + PART]
+        blank = _blank.search(window[::-1])
+        cut = PART - blank.end() if blank else 0
+        if not cut:
+            cut = PART
+            while cut > 1 and not _parts_at(text, at + cut):
+                cut -= 1
+        yield text[at : at + cut]
+        at += cut
+    yield text[at:]
+
+
+def _long(text: str) -> np.ndarray:
+    """Hashes of one very long text: a word that a cut falls into goes on in the next part."""
+    found: list[np.ndarray] = []
+    value, length, is_open = 0, 0, False
+    for part in _parts(text):
+        values, begin, end, _, size = _runs([part])
+        if is_open and size and not (len(begin) and begin[0] == 0):
+            found.append(np.array([value], np.uint64))
+            is_open = False
+        if not len(values):
+            continue
+        first, last = 0, len(values)
+        if is_open and begin[0] == 0:
+            value = (value + pow(_BASE, length, 1 << 64) * int(values[0])) % (1 << 64)
+            length += int(end[0])
+            first = 1
+            if end[0] < size:
+                found.append(np.array([value], np.uint64))
+                is_open = False
+        if end[-1] == size and last > first:
+            value, length, is_open = int(values[-1]), int(end[-1] - begin[-1]), True
+            last -= 1
+        found.append(values[first:last])
+    if is_open:
+        found.append(np.array([value], np.uint64))
+    return mix(np.concatenate([np.empty(0, np.uint64), *found]))
+
+
+def words(texts: list[str | None]) -> Words:
+    """The words of a list of texts; null texts have none. Texts of any length are taken whole."""
+    found, sizes = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for begin, end in blocks(texts, PART + 1):
+        some = texts[begin:end]
+        if end == begin + 1 and some[0] and len(some[0]) > PART:
+            found.append(_long(some[0]))
+            sizes.append(np.array([len(found[-1])]))
+            continue
+        value, at, _, starts, _ = _runs(some)
+        found.append(mix(value))
+        sizes.append(np.diff(np.searchsorted(at, starts)))
+    first = np.cumsum(np.concatenate(sizes))
+    return Words(np.concatenate(found), np.repeat(np.arange(len(texts)), np.diff(first)), first)
 
 
 def blocks(texts: list[str | None], most: int = 1 << 21):

@@ -33,11 +33,24 @@ def test_blocks_cover_everything():
     assert list(blocks([], 12)) == []
 
 
-def test_very_long_texts_go_in_parts(monkeypatch):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aàéÀ\u0301\u1100\u1161\u11a81_ -\n²🙂е", max_size=40)), max_size=5), st.integers(3, 12))
+def test_texts_in_parts_have_the_same_words(texts, part):
     from centime.llm import words as module
 
-    texts = ["mot été " * 300, None, "x" * 500, ""]
-    whole = words(texts)
-    monkeypatch.setattr(module, "PART", 100)
-    parts = words(texts)
-    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    whole, before = words(texts), module.PART
+    try:
+        module.PART = part
+        parts = words(texts)
+    finally:
+        module.PART = before
+    assert all(a.tolist() == b.tolist() for a, b in zip(whole, parts, strict=True))
+
+
+def test_very_long_texts():
+    from centime.llm.words import PART, hash_words
+
+    assert len(hash_words("mot été " * (PART // 8 + 1))) == 2 * (PART // 8 + 1)
+    assert len(hash_words("x" * (PART + 1))) == 1
+    assert hash_words("x" * (PART + 1))[0] != hash_words("x" * (PART + 2))[0]
+    assert len(hash_words("a " + "x" * (2 * PART + 3) + " b")) == 3
