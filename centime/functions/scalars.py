@@ -54,6 +54,17 @@ def quantum_cents(raw: Column | str, unit: int | Column = 1) -> Column:
     return unit.cast("double") * 100 / F.pow(F.lit(10.0), decimals)
 
 
+def raw_quantum(raw: Column | str, unit: Column | str) -> Column:
+    """The quantum in euros of a raw figure that is a plain number (blanks, parentheses and any minus sign allowed): its unit over ten to the number of decimals.
+
+    Null for anything else and for a unit that is no number.
+    """
+    plain = F.btrim(F.translate(F.replace(F.replace(text(raw), F.lit(","), F.lit(".")), F.lit(" "), F.lit("")), "\u2212\u2011\u2013\u2010", "----"), F.lit("()"))
+    decimals = F.length(F.regexp_extract(plain, r"\.([0-9]+)", 1))
+    number = plain.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$")
+    return F.when(number, text(unit).try_cast("decimal(20,4)").cast("double") / F.pow(F.lit(10.0), decimals))
+
+
 def code(c: Column | str, width: int) -> Column:
     """'12.0' and ' 7 ' as zero-padded codes; longer ones are kept whole."""
     bare = F.regexp_replace(F.trim(text(c)), r"\.0+$", "")
@@ -70,12 +81,16 @@ def last_year(c: Column | str) -> Column:
     return F.try_element_at(F.regexp_extract_all(text(c), F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), 1), F.lit(-1)).cast("int")
 
 
-def stage_for(kind: Column | str, edition: Column | str, year: Column | str) -> Column:
-    """PLFSS of its own year, the year before corrected, two years before stated; later years are projections."""
+def stage_for(kind: Column | str, edition: Column | str, year: Column | str, draft: str) -> Column:
+    """The stage of a year's figure in a publication of one kind and edition.
+
+    Its own year: the kind. The year before: the kind corrected; two years before
+    and more: stated; later years: a projection. draft is the kind that is a bill,
+    all others are taken as they are named; a null in any gives null.
+    """
     kind, gap = text(kind), text(edition) - text(year)
-    return (
-        F.when(gap < 0, "PROJECTION").when(gap == 0, kind).when((gap == 1) & (kind == "PLFSS"), "PLFSS_RECTIF").when(gap == 1, F.concat(kind, F.lit("_RECTIF"))).otherwise("CONSTATE")
-    )
+    corrected = F.when(kind == draft, F.lit(f"{draft}_RECTIF")).otherwise(F.concat(kind, F.lit("_RECTIF")))
+    return F.when(gap < 0, "PROJECTION").when(gap == 0, kind).when(gap == 1, corrected).when(gap > 1, "CONSTATE")
 
 
 def month_key(c: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from centime.functions import scalars
 from centime.operators import cells, paths, rates, reconcile
 from centime.session import table
 
@@ -25,20 +26,40 @@ def cents(column: str) -> F.Column:
     return F.round(F.col(column) * 100).cast("bigint")
 
 
-@query(
-    """
-WITH f AS (
-  SELECT *, CAST(coalesce(TRY_CAST(precision_eur AS DECIMAL(18,4)), 0) * 100 AS BIGINT) AS p,
-         CASE WHEN kind = 'LFSS' THEN 1 ELSE 0 END AS lfss
+POSITION = ["domain", "perimeter", "metric", "exercise", "stage", "entity"]
+_QUANTUM = """CASE WHEN regexp_matches(trim(translate(replace(replace(raw, ',', '.'), ' ', ''), '\u2212\u2011\u2013\u2010', '----'), '()'), '^[-+]?[0-9]+([.][0-9]+)?$')
+  THEN TRY_CAST(unit_eur AS DECIMAL(20,4))::DOUBLE / pow(10::DOUBLE, length(regexp_extract(replace(raw, ',', '.'), '[.]([0-9]+)', 1))) END"""
+_RANKED = f"""f AS (
+  SELECT *, coalesce(TRUNC(TRY_CAST(precision_eur AS DECIMAL(18,4)) * 100), 0)::HUGEINT AS p, {_QUANTUM} AS q, CASE WHEN kind = 'LFSS' THEN 1 ELSE 0 END AS lfss
   FROM pdf_facts WHERE amount_cents IS NOT NULL),
+o AS (SELECT *, CASE WHEN stage = 'PROJECTION' THEN edition WHEN stage = 'CONSTATE' THEN lfss ELSE 0 END AS k2, CASE WHEN stage = 'PROJECTION' THEN lfss ELSE 0 END AS k3,
+  CASE WHEN stage = 'PROJECTION' THEN coalesce(reference_date, '') ELSE coalesce(reference_date, lpad(CAST(edition - 1 AS VARCHAR), 4, '0') || '-00') END AS k4, CASE WHEN stage = 'PROJECTION' THEN 0 ELSE edition END AS k5 FROM f),
 r AS (
   SELECT *, rank() OVER (PARTITION BY domain, perimeter, metric, exercise, stage, entity
-                         ORDER BY priority DESC NULLS LAST, edition DESC NULLS LAST, lfss DESC, reference_date DESC NULLS LAST) AS k FROM f),
+                         ORDER BY priority DESC NULLS LAST, k2 DESC NULLS LAST, k3 DESC, k4 DESC NULLS LAST, k5 DESC NULLS LAST) AS k FROM o)"""
+
+
+def _ranking() -> list[F.Column]:
+    """The greatest counts: projections by priority, edition and vote; the others by priority, for stated results by vote, then by date and edition."""
+    voted = F.when(F.col("kind") == "LFSS", 1).otherwise(0)
+    ahead, stated = F.col("stage") == "PROJECTION", F.col("stage") == "CONSTATE"
+    dated = F.coalesce("reference_date", F.concat(F.lpad((F.col("edition") - 1).cast("string"), 4, "0"), F.lit("-00")))
+    return [
+        F.col("priority"),
+        F.when(ahead, F.col("edition")).when(stated, voted).otherwise(0),
+        F.when(ahead, voted).otherwise(0),
+        F.when(ahead, F.coalesce("reference_date", F.lit(""))).otherwise(dated),
+        F.when(ahead, 0).otherwise(F.col("edition")),
+    ]
+
+
+@query(
+    f"""WITH {_RANKED},
 g AS (
   SELECT domain, perimeter, metric, exercise, stage, entity,
          count(DISTINCT amount_cents) FILTER (k = 1) AS distinct_values,
-         max(2 * amount_cents - p) FILTER (k = 1) AS low, min(2 * amount_cents + p) FILTER (k = 1) AS high,
-         arg_min(amount_cents, (p, -id)) FILTER (k = 1) AS finest,
+         max(2 * amount_cents::HUGEINT - p) FILTER (k = 1) AS low, min(2 * amount_cents::HUGEINT + p) FILTER (k = 1) AS high,
+         arg_min(amount_cents, (CASE WHEN q IS NULL THEN 1 ELSE 0 END, coalesce(q, 0), id)) FILTER (k = 1) AS finest,
          count(*) FILTER (k = 1) AS references_n, count(*) FILTER (k > 1) AS earlier_n
   FROM r GROUP BY ALL)
 SELECT domain, perimeter, metric, exercise, stage, entity,
@@ -49,14 +70,14 @@ FROM g"""
 )
 def cell_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "pdf_facts")
-    precision = F.coalesce((F.col("precision_eur").try_cast("decimal(18,4)") * 100).cast("bigint"), F.lit(0))
-    lfss = F.when(F.col("kind") == "LFSS", 1).otherwise(0)
-    ranking = [F.desc_nulls_last("priority"), F.desc_nulls_last("edition"), lfss.desc(), F.desc_nulls_last("reference_date")]
-    position = ["domain", "perimeter", "metric", "exercise", "stage", "entity"]
-    found = cells.select_cells(facts, position, ranking, "amount_cents", precision, precision, "id", [-F.col("id")])
-    return found.select(
-        *position, "value", "status", F.size("references").cast("bigint").alias("references_n"), F.size("earlier_references").cast("bigint").alias("earlier_n"), F.col("alternatives").cast("bigint")
-    )
+    precision = F.coalesce(F.expr("try_cast(precision_eur AS decimal(18,4)) * 100").try_cast("bigint"), F.lit(0))
+    found = cells.select_cells(facts, POSITION, _ranking(), "amount_cents", precision, scalars.raw_quantum("raw", "unit_eur"), [F.col("id")])
+    return found.drop("distinct_values")
+
+
+@query(f"WITH {_RANKED} SELECT domain, perimeter, metric, exercise, stage, entity, id, amount_cents, CASE WHEN k = 1 THEN 'reference' ELSE 'earlier' END AS role FROM r")
+def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.cell_references(table(spark, sf_dir, "pdf_facts"), POSITION, _ranking(), "amount_cents", "id")
 
 
 YEARS = list(range(1994, 2003))

@@ -33,7 +33,10 @@ def test_scalars(spark):
     assert one(spark, scalars.safe_csv(F.lit(" =1+1"))) == "' =1+1"
     assert one(spark, scalars.month_key(F.lit("mars 2020, puis août 2021"))) == "2021-08"
     assert one(spark, scalars.excel_scale(F.lit("0,,"))) == 1000000
-    assert [one(spark, scalars.stage_for(F.lit(k), F.lit(e), F.lit(y))) for k, e, y in (("PLFSS", 2027, 2027), ("PLFSS", 2027, 2026), ("PLFSS", 2027, 2025), ("LFSS", 2026, 2027))] == ["PLFSS", "PLFSS_RECTIF", "CONSTATE", "PROJECTION"]
+    stages = [one(spark, scalars.stage_for(F.lit(k), F.lit(e), F.lit(y), "BILL")) for k, e, y in (("BILL", 2027, 2027), ("BILL", 2027, 2026), ("BILL", 2027, 2025), ("LAW", 2026, 2027), ("LAW", 2026, 2025))]
+    assert stages == ["BILL", "BILL_RECTIF", "CONSTATE", "PROJECTION", "LAW_RECTIF"]
+    assert one(spark, scalars.raw_quantum(F.lit("(1 234,50)"), F.lit("1000"))) == 10.0
+    assert one(spark, scalars.raw_quantum(F.lit("12 M€"), F.lit("1000"))) is None
 
 
 def test_constant_money_is_exact(spark):
@@ -55,9 +58,18 @@ def test_cell_ties_and_intervals(spark):
         (6, "c", 1, 7, 0, 1), (7, "c", 1, 7, 0, 1), (8, "d", 1, None, 0, 1),
     ]
     facts = spark.createDataFrame(rows, FACT)
-    got = cells.select_cells(facts, ["pos"], [F.desc("priority")], "amount", F.col("precision"), F.col("quantum"), "id", [F.col("id")])
-    found = {r["pos"]: (r["value"], r["status"], r["references"], r["earlier_references"], r["alternatives"]) for r in got.collect()}
-    assert found == {"a": (104, "rounded_consistency", [1, 2], [3], 2), "b": (None, "divergence", [4, 5], [], 2), "c": (7, "published", [6, 7], [], 0)}
+    got = cells.select_cells(facts, ["pos"], [F.col("priority")], "amount", F.col("precision"), F.col("quantum"), [F.col("id")])
+    found = {r["pos"]: (r["value"], r["status"], r["references_n"], r["earlier_n"], r["alternatives"]) for r in got.collect()}
+    assert found == {"a": (104, "rounded_consistency", 2, 1, 2), "b": (None, "divergence", 2, 0, 2), "c": (7, "published", 2, 0, 0)}
+    roles = cells.cell_references(facts, ["pos"], [F.col("priority")], "amount", "id")
+    assert sorted((r["id"], r["role"]) for r in roles.collect()) == [(1, "reference"), (2, "reference"), (3, "earlier"), (4, "reference"), (5, "reference"), (6, "reference"), (7, "reference")]
+
+
+def test_cells_do_not_overflow(spark):
+    most = (1 << 63) - 1
+    facts = spark.createDataFrame([(1, "a", None, most, 5, None), (2, "a", None, most - 2, 5, 1), (3, None, 1, -most, None, 1)], FACT)
+    got = cells.select_cells(facts, ["pos"], [F.col("priority")], "amount", F.col("precision"), F.col("quantum"), [F.col("id")])
+    assert {r["pos"]: (r["value"], r["status"]) for r in got.collect()} == {"a": (most - 2, "rounded_consistency"), None: (-most, "published")}
 
 
 def test_paths(spark):
