@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,27 +32,38 @@ def segment_breaks(segments: DataFrame, by: list[str], begin: str, end: str) ->
     return told.withColumn("kind", F.when(F.col("shift") > 0, "gap").otherwise("overlap"))
 
 
+# Tokens as the overlap of chunks is counted in: a run of letters and digits, or any other single visible character.
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+
+
+def _flat(text: str) -> str:
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).strip()
+
+
 def tiles(source: str, chunks: list[str], most_overlap: int) -> bool:
-    """Whether chunks, in order, cover a text: each occurs in it, goes on where the covered part ends or earlier by at most
-    `most_overlap` words, and leaves nothing out but blanks. All alignments are kept, so repeated phrases do no harm."""
-    flat = " ".join(unicodedata.normalize("NFC", source).split())
-    ends = {0}
-    for chunk in chunks:
-        part = " ".join(unicodedata.normalize("NFC", chunk).split())
-        reached = set()
+    """Whether chunks, in order, cover a text.
+
+    Every place where a chunk occurs is an interval. An interval may follow one of
+    the chunk before if it begins no earlier, ends later, leaves out nothing but a
+    blank, and at most `most_overlap` tokens begin in what the two share. All
+    intervals that can be reached from the start are kept, so repeated phrases do
+    no harm; one of the last chunk must end where the text ends. Composition of
+    accents and kind of blanks do not count; an empty chunk covers nothing: false.
+    """
+    text = _flat(source)
+    marks = np.array([m.start() for m in _TOKEN.finditer(text)], np.int64)
+    blank = np.array([c == " " for c in text] + [False, False])
+    begin, end = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for part in map(_flat, chunks):
         if not part:
-            continue
-        for end in ends:
-            at = flat.find(part)
-            while at >= 0 and at <= end + 1:
-                until = at + len(part)
-                if until > end and not flat[end:at].strip() and len(re.findall(r"\S+", flat[at:end])) <= most_overlap:
-                    reached.add(until)
-                at = flat.find(part, at + 1)
-        if not reached:
             return False
-        ends = reached
-    return len(flat) in ends
+        start = np.array([m.start() for m in re.finditer(f"(?={re.escape(part)})", text)], np.int64)[None, :]
+        stop, last, first = start + len(part), end[:, None], begin[:, None]
+        shared = np.searchsorted(marks, last) - np.searchsorted(marks, start)
+        joined = (start <= last) | ((start == last + 1) & blank[last])
+        reached = (joined & (start >= first) & (stop > last) & (shared <= most_overlap)).any(axis=0)
+        begin, end = start[0, reached], stop[0, reached]
+    return bool((end == len(text)).any())
 
 
 def tiling(records: DataFrame, key: str, source: str, chunks: str, most_overlap: int = 150) -> DataFrame:

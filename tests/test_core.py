@@ -4,6 +4,8 @@ import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from centime.functions import scalars
@@ -116,6 +118,29 @@ def test_tiling():
     assert not textprep.tiles(text, ["un deux trois", "deux trois quatre cinq six"], 1)
     assert not textprep.tiles(text, ["un deux trois"], 1)
     assert textprep.tiles("a b a b", ["a b", "a b"], 0)
+    assert textprep.tiles("e\u0301te\u0301  a\nb", ["été a", "b"], 0)
+    assert textprep.tiles("", [], 0) and not textprep.tiles("a", [""], 0) and not textprep.tiles("a", [], 0)
+    assert not textprep.tiles("a b c", ["b c", "a b c"], 9)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab ", min_size=1, max_size=10), st.lists(st.text(alphabet="ab ", min_size=1, max_size=5), max_size=4), st.integers(0, 2))
+def test_tiling_against_all_alignments(source, chunks, most):
+    text, parts = textprep._flat(source), [textprep._flat(c) for c in chunks]
+
+    def goes(no, begin, end):
+        if no == len(parts):
+            return end == len(text)
+        for at in range(begin, len(text)):
+            until = at + len(parts[no])
+            if not parts[no] or text[at:until] != parts[no] or until <= end or text[end:at].strip() or at > end + 1:
+                continue
+            marks = [m.start() for m in textprep._TOKEN.finditer(text)]
+            if sum(at <= m < end for m in marks) <= most and goes(no + 1, at, until):
+                return True
+        return False
+
+    assert textprep.tiles(source, chunks, most) == goes(0, 0, 0)
 
 
 def test_search(spark):
