@@ -1,21 +1,23 @@
-"""Near-duplicate texts in groups: signature trees over blocks of likely partners.
+"""Near-duplicate texts in groups: signature trees over the rare triples of all texts.
 
 A text is the set of its word triples, in one order for all texts, rare ones
 first. Two sets that reach the threshold share one of the first triples of both:
 of n triples they have at least threshold * n in common, so not all of these are
-among the last. A text is in the block of each of its first triples, and no pair
-is missed. In the block of the first triple that two texts share, what they have
-in common lies from there on in both; where too little is left, the pair is
-dropped. Blocks up to SMALL texts are walked in order of size, in larger ones a
-signature tree finds the pairs that may be similar: a node holds the OR of the
-token bitmaps below it and the range of sizes; two trees' nodes are walked
-together, and a pair of nodes is dropped as soon as even the greatest possible
-overlap is too small. What is left is verified on the whole sets; groups are the
-connected components of verified links.
-
-First every text is verified against its smallest candidate only; candidates that
-end up in one group need no more work. The others are verified after that, so
-groups are those of all candidates.
+among the last. Only first triples are indexed, and no pair is missed.
+
+The collection is parted by triple. Each part is one signature tree over its
+entries (a text under one of its first triples), in order of triple and size. A
+node holds the range of triples and sizes below it, the OR and the AND of the
+token bitmaps, and the most that an overlap may still have (what the two share
+lies from their first common triple on). The tree is walked against itself from
+the root, and a pair of nodes is dropped as soon as even the greatest possible
+overlap is too small. Every candidate comes out of such a walk, and is then
+verified on the whole sets; groups are the connected components of the links.
+
+Where very many texts are near-copies of each other, all their pairs are
+candidates. Such a triple's entries are first linked along chains only; when
+groups are known, they are walked again, and pairs of nodes within one group are
+dropped, so no pair of different groups is left out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from centime.session import durable
 
 THRESHOLD = 0.6
 #: Texts whose triples are counted for the order, about; triples that have a place in it by their count, the others come first.
-#: Any order finds every pair; a poor one only makes large blocks.
+#: Any order finds every pair; a poor one only makes more candidates.
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Allowance for rounding where sizes are compared.
 SLACK = 1e-6
@@ -41,14 +43,16 @@ SLACK = 1e-6
 BITS = 768
 #: Bytes of a stored token.
 WIDTH = 5
-#: Texts of a tree's leaf; blocks up to SMALL texts are one leaf; blocks over HOT with more than PLENTY candidates a text get chains first.
-LEAF, SMALL, HOT, PLENTY = 16, 256, 512, 8
-#: Pairs of nodes, pairs of texts, and texts of whole blocks that are compared at once.
+#: Entries of a tree's leaf, children of its other nodes.
+LEAF, FAN = 16, 4
+#: Parts at least, and entries of a part beyond which there are more parts.
+PARTS, ENTRIES = 32, 300_000
+#: A triple with more candidates than that many for each entry, and than that many in all, waits until groups are known.
+PLENTY, SEVERAL = 8, 4096
+#: Entries of one triple that one task takes; more are split.
+SPLIT = 100_000
+#: Pairs of nodes and pairs of texts that are compared at once; entries that are walked together when groups are known.
 NODES, TEXTS, ROWS = 512, 30_000, 50_000
-#: Rounds in which groups are joined by single pairs before all that is left is verified.
-MERGES = 4
-#: Pairs left for each grouped text above which these rounds cost less than verifying all.
-CROWDED = 20
 
 
 def shingle_sets(texts: list[str | None], length: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +104,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, ranks): the most frequent tokens of a sample of the sets, in order, and their places by count, from 1."""
-    step = -(-sets.count() // SAMPLE) or 1
-    some = sets.where(F.pmod(F.xxhash64("seq"), F.lit(step)) == 0).select("tokens")
+def _sample(sets: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """About SAMPLE of the sets, and the number of sets that each stands for."""
+    step = max(1, -(-count // SAMPLE))
+    return sets.where(F.pmod(F.xxhash64("seq"), F.lit(step)) == 0).select("tokens"), step
+
+
+def _frequent(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, ranks): the most frequent tokens of some sets, in order, and their places by count, from 1."""
     counts = some.mapInArrow(_counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     token, n = (top.column(i).to_numpy() for i in (0, 1))
@@ -112,6 +120,24 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order].astype(np.uint64), rank[order].astype(np.uint64) + np.uint64(1)
 
 
+def _hot(some: DataFrame, frequent, threshold: float, least: float, split: float) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """(tokens, chunks): first tokens of more than `least` of some sets, in order, and into how many chunks of `split` their entries go.
+
+    At most as many as the sample has entries over `least`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(0).to_pylist()
+            token, _, _ = first_tokens(unpack(b"".join(sets)), np.array([len(x) // WIDTH for x in sets], np.int64), frequent.value, threshold)
+            token, n = np.unique(token, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    counts = some.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    top = counts.orderBy("token").toArrow()
+    return top.column(0).to_numpy().astype(np.int64), np.ceil(top.column(1).to_numpy() / split).astype(np.int64)
+
+
 def first_tokens(tokens: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, set, rest): of each set the tokens of which similar sets share one; rest counts the set's tokens from there on.
 
@@ -132,10 +158,11 @@ def first_tokens(tokens: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarr
     return tokens[order][first], owner[first], rest[first]
 
 
-def _postings(frequent, threshold: float):  # noqa: ANN001
-    """(block, seq, size, bitmap, rest) of each set and block; frequent is broadcast."""
+def _postings(frequent, hot, parts: int, threshold: float):  # noqa: ANN001
+    """The entries of each set, a row for each part they are in; frequent and hot are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_token, chunks = hot.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -144,75 +171,124 @@ def _postings(frequent, threshold: float):  # noqa: ANN001
                 sizes = np.array([len(s) // WIDTH for s in sets], np.int64)
                 bits = np.zeros((len(sets), BITS), np.uint8)
                 bits[np.repeat(np.arange(len(sets)), sizes), (tokens % np.uint64(BITS)).astype(np.int64)] = 1
-                block, owner, rest = first_tokens(tokens, sizes, frequent.value, threshold)
-                bitmap = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(block), [None, pa.py_buffer(np.packbits(bits, axis=1)[owner].tobytes())]).cast(pa.binary())
-                columns = [pa.array(block.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(sizes[owner].astype(np.int32)), bitmap, pa.array(rest.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "seq", "size", "bitmap", "rest"])
+                bits = np.packbits(bits, axis=1)
+                token, owner, rest = first_tokens(tokens, sizes, frequent.value, threshold)
+                place = token
+                if len(hot_token):
+                    near = np.minimum(np.searchsorted(hot_token, token.view(np.int64)), len(hot_token) - 1)
+                    seq = batch.column(0).to_numpy()[owner].astype(np.uint64)
+                    chunk = mix(seq + mix(token)) % chunks[near].astype(np.uint64)
+                    place = np.where(hot_token[near] == token.view(np.int64), token + chunk * np.uint64(0x9E3779B97F4A7C15), token)
+                part = (mix(place) % np.uint64(parts)).astype(np.int32)
+                order = np.lexsort((owner, part))
+                part, owner, token, rest = part[order], owner[order], token[order], rest[order]
+                starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])) if len(part) else np.empty(0, np.int64)
+                one = owner[starts]
+                bitmap = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(one), [None, pa.py_buffer(bits[one].tobytes())]).cast(pa.binary())
+                offsets = pa.array(np.append(starts, len(part)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token.view(np.int64), rest.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), batch.column(0).take(pa.array(one)), pa.array(sizes[one].astype(np.int32)), bitmap, *lists], POSTING_NAMES)
 
     return run
 
 
-POSTINGS = "block bigint, seq bigint, size int, bitmap binary, rest int"
-#: A pair (a, b), or with b null a text of a block that has to be walked again.
-FOUND = "a bigint, b bigint, block bigint, size int, bitmap binary, rest int"
-FOUND_NAMES = ["a", "b", "block", "size", "bitmap", "rest"]
+POSTINGS = "part int, seq bigint, size int, bitmap binary, tokens array<bigint>, rests array<int>"
+POSTING_NAMES = ["part", "seq", "size", "bitmap", "tokens", "rests"]
+#: A pair (a, b), or with b null an entry of a token that has to be walked again.
+FOUND = "a bigint, b bigint, token bigint, size int, bitmap binary, rest int"
+FOUND_NAMES = ["a", "b", "token", "size", "bitmap", "rest"]
 
 
 class Tree:
-    """A signature tree over some texts: levels of nodes, each with the OR of its bitmaps, its sizes, its one group or -1, and the most that an overlap may have."""
-
-    def __init__(self, bitmap: np.ndarray, size: np.ndarray, group: np.ndarray, rest: np.ndarray | None = None):
-        # like texts next to each other: by group, then size, then bitmap
-        self.order = np.lexsort((*bitmap.T[::-1], size, group))
-        self.bitmap, self.size, self.group = bitmap[self.order], size[self.order], group[self.order]
-        self.rest = self.size if rest is None else rest[self.order]
-        ones, every, low, high, label, most = self.bitmap, self.bitmap, self.size, self.size, self.group, self.rest
+    """A signature tree over entries. row tells the text of each entry; size, bitmap, group (-1: none) and side are those of texts.
+
+    order: the entries in the tree's order; token_no: of each, in that order, the
+    place of its token among all; found: of each token the pairs found; waits:
+    tokens whose pairs are not looked at.
+    """
+
+    def __init__(self, token, row, rest, size, bitmap, group=None, side=None):  # noqa: ANN001
+        group = np.full(len(size), -1) if group is None else group
+        # like entries next to each other: by token, then group, size, bitmap
+        self.order = np.lexsort((bitmap[row, 0], size[row], group[row], token))
+        self.row, self.rest = row[self.order], rest[self.order]
+        self.size, self.bitmap, self.group, self.side = size, bitmap, group, side
+        token = token[self.order]
+        self.token_no = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+        self.members = np.bincount(self.token_no)
+        self.found = np.zeros(len(self.members), np.int64)
+        self.waits = np.zeros(len(self.members), bool)
+        self.compared = 0
+        ones = every = bitmap[self.row]
+        low = high = size[self.row]
+        label, most, first, last = group[self.row], self.rest, self.token_no, self.token_no
         self.levels = []
         fan = LEAF
         while True:
             starts = np.arange(0, len(low), fan)
+            ends = np.append(starts[1:], len(low)) - 1
             ones, every = np.bitwise_or.reduceat(ones, starts), np.bitwise_and.reduceat(every, starts)
             low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            same = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
-            label = np.where(same, label[starts], -1)
-            most = np.maximum.reduceat(most, starts)
-            self.levels.append((ones, every, low, high, label, most))
+            label = np.where(np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts), label[starts], -1)
+            most, first, last = np.maximum.reduceat(most, starts), first[starts], last[ends]
+            self.levels.append((ones, every, low, high, label, most, first, last))
             if len(starts) == 1:
                 break
-            fan = 4
+            fan = FAN
+
+    def pairs(self, threshold: float, plenty: float = np.inf, several: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (in the tree's order) of entries of one token that may reach the threshold and are not known to be of one group, a part at a time.
 
-    def pairs(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of texts that may reach the threshold and are not known to be of one group, a part at a time."""
-        a = b = np.zeros(1, np.int64)
-        yield from self._down(len(self.levels) - 1, a, b, threshold)
+        A token with more than `several` pairs and more than `plenty` for each entry is marked in waits and walked no further.
+        """
+        self.plenty, self.several = plenty, several
+        root = np.zeros(1, np.int64)
+        yield from self._down(len(self.levels) - 1, root, root, threshold)
 
     def _down(self, level: int, a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(a) > NODES:
             for at in range(0, len(a), NODES):
                 yield from self._down(level, a[at : at + NODES], b[at : at + NODES], threshold)
             return
-        ones, every, low, high, label, most = self.levels[level]
-        kept = enough_left(low, most, a, b, threshold)
+        ones, every, low, high, label, most, first, last = self.levels[level]
+        self.compared += len(a)
+        kept = (last[a] >= first[b]) & ~((first[a] == last[b]) & self.waits[first[a]])
+        kept &= np.minimum(most[a], most[b]) >= threshold / (1 + threshold) * (low[a] + low[b]) - SLACK
+        kept &= (label[a] != label[b]) | (label[a] < 0)
         a, b = a[kept], b[kept]
         kept = may_match(ones[a], every[a], low[a], high[a], ones[b], every[b], low[b], high[b], threshold)
-        kept &= (label[a] != label[b]) | (label[a] < 0)
         a, b = a[kept], b[kept]
         if not len(a):
             return
-        fan = LEAF if level == 0 else 4
-        below = len(self.size) if level == 0 else len(self.levels[level - 1][2])
+        fan = LEAF if level == 0 else FAN
+        below = len(self.row) if level == 0 else len(self.levels[level - 1][2])
         left = (a[:, None] * fan + np.repeat(np.arange(fan), fan)[None, :]).ravel()
         right = (b[:, None] * fan + np.tile(np.arange(fan), fan)[None, :]).ravel()
-        inside = (left < below) & (right < below) & (left < right if level == 0 else left <= right)
-        left, right = left[inside], right[inside]
         if level:
-            yield from self._down(level - 1, left, right, threshold)
+            inside = (right < below) & (left <= right)
+            yield from self._down(level - 1, left[inside], right[inside], threshold)
             return
-        kept = enough_left(self.size, self.rest, left, right, threshold)
+        inside = (right < below) & (left < right)
+        left, right = left[inside], right[inside]
+        kept = (self.token_no[left] == self.token_no[right]) & ~self.waits[self.token_no[left]]
         left, right = left[kept], right[kept]
-        kept = texts_may_match(self.bitmap, self.size, left, right, threshold)
-        kept &= (self.group[left] != self.group[right]) | (self.group[left] < 0)
-        yield self.order[left[kept]], self.order[right[kept]]
+        kept = self.may_reach(left, right, threshold)
+        left, right = left[kept], right[kept]
+        tokens, n = np.unique(self.token_no[left], return_counts=True)
+        self.found[tokens] += n
+        self.waits[tokens] |= self.found[tokens] > np.maximum(self.several, self.plenty * self.members[tokens])
+        yield left, right
+
+    def may_reach(self, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether two entries of one token may reach the threshold, and are of different groups and sides."""
+        a, b = self.row[left], self.row[right]
+        kept = np.minimum(self.rest[left], self.rest[right]) >= threshold / (1 + threshold) * (self.size[a] + self.size[b]) - SLACK
+        kept &= (self.group[a] != self.group[b]) | (self.group[a] < 0)
+        if self.side is not None:
+            kept &= (self.side[a] != self.side[b]) | (self.side[a] < 0)
+        at = np.flatnonzero(kept)
+        kept[at] = texts_may_match(self.bitmap, self.size, a[at], b[at], threshold)
+        return kept
 
 
 def may_match(ones_x, every_x, low_x, high_x, ones_y, every_y, low_y, high_y, threshold: float) -> np.ndarray:  # noqa: ANN001
@@ -227,11 +303,6 @@ def may_match(ones_x, every_x, low_x, high_x, ones_y, every_y, low_y, high_y, th
     return overlap >= threshold / (1 + threshold) * (low_x + low_y) - 1e-9
 
 
-def enough_left(size: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether a and b reach the threshold if all they share lies within the rest of both."""
-    return np.minimum(rest[a], rest[b]) >= threshold / (1 + threshold) * (size[a] + size[b]) - SLACK
-
-
 def texts_may_match(bitmap: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """may_match of single texts a and b."""
     kept = np.empty(len(a), bool)
@@ -242,97 +313,106 @@ def texts_may_match(bitmap: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.n
     return kept
 
 
-def _block_pairs(block, seq, size, bitmap, rest, group, threshold: float, again: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Candidates of whole blocks, sorted by block and size."""
-    edge = np.concatenate([[True], block[1:] != block[:-1]])
-    starts = np.flatnonzero(edge)
-    counts = np.diff(np.append(starts, len(block)))
-
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        low, high = np.minimum(seq[a], seq[b]), np.maximum(seq[a], seq[b])
-        pairs = np.unique(np.stack([low, high], axis=1)[low < high], axis=0)
-        count = len(pairs)
-        ends = [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*ends, pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary()), pa.nulls(count, pa.int32())], FOUND_NAMES)
-
-    def waiting(begin: int, count: int) -> pa.RecordBatch:
-        some = slice(begin, begin + count)
-        rows = [x.tobytes() for x in bitmap[some]]
-        return pa.RecordBatch.from_arrays([pa.array(seq[some]), pa.nulls(count, pa.int64()), pa.array(block[some]), pa.array(size[some].astype(np.int32)), pa.array(rows, pa.binary()), pa.array(rest[some].astype(np.int32))], FOUND_NAMES)
-
-    # small blocks: all of them at once by the distance of the two texts in the block, as long as the larger one is not too large
-    small = (counts > 1) & (counts <= SMALL)
-    place = np.arange(len(block)) - np.repeat(starts, counts)
-    left_in = np.where(np.repeat(small, counts), np.repeat(counts, counts) - place - 1, 0)
-    left_a, left_b = [], []
-    near, step = np.flatnonzero(left_in), 1
-    while len(near):
-        near = near[size[near] >= threshold * size[near + step] - SLACK]
-        kept = enough_left(size, rest, near, near + step, threshold)
-        a = near[kept]
-        b = a + step
-        kept = (group[a] != group[b]) | (group[a] < 0)
-        a, b = a[kept], b[kept]
-        kept = texts_may_match(bitmap, size, a, b, threshold)
-        left_a.append(a[kept])
-        left_b.append(b[kept])
-        step += 1
-        near = near[left_in[near] >= step]
-    if left_a:
-        yield out(np.concatenate(left_a), np.concatenate(left_b))
-    for begin, count in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
-        tree = Tree(bitmap[begin : begin + count], size[begin : begin + count], group[begin : begin + count], rest[begin : begin + count])
-        if count > HOT and not again:
-            held, total = [], 0
-            for a, b in tree.pairs(threshold):
-                held.append((a, b))
-                total += len(a)
-                if total > PLENTY * count:
-                    break
-            if total <= PLENTY * count:
-                for a, b in held:
-                    yield out(begin + a, begin + b)
-                continue
-            # chains of growing step join what is alike at little cost; the rest of the block follows when groups are known
-            for step in 1 << np.arange(int(count - 1).bit_length()):
-                a, b = tree.order[:-step], tree.order[step:]
-                kept = enough_left(size, rest, begin + a, begin + b, threshold) & texts_may_match(bitmap, size, begin + a, begin + b, threshold)
-                yield out(begin + a[kept], begin + b[kept])
-            yield waiting(begin, count)
+def _whole_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Consecutive rows, at least so many and all of their last key (the first column, in order); each row is copied once."""
+    held: list[pa.RecordBatch] = []
+    count, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        for a, b in tree.pairs(threshold):
-            yield out(begin + a, begin + b)
+        key = batch.column(0).to_numpy()
+        edges = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+        if last is not None and key[0] != last:
+            edges.insert(0, 0)
+        begin = 0
+        for edge in edges:
+            if count + edge - begin >= least:
+                if edge > begin:
+                    held.append(batch.slice(begin, edge - begin))
+                yield pa.Table.from_batches(held)
+                held, count, begin = [], 0, edge
+        held.append(batch.slice(begin))
+        count += batch.num_rows - begin
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bitmaps(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8).view(np.uint64)
+
+
+def _distinct(seq_a: np.ndarray, seq_b: np.ndarray) -> pa.RecordBatch:
+    low, high = np.minimum(seq_a, seq_b), np.maximum(seq_a, seq_b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    kept = low < high
+    kept[1:] &= (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    n = int(kept.sum())
+    nulls = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(low[kept]), pa.array(high[kept]), *nulls], FOUND_NAMES)
+
+
+def _candidates(hot, threshold: float, plenty: float, several: int):  # noqa: ANN001
+    """Walks the tree of each part, one after the other."""
+
+    def walk(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        seq, size = (table.column(i).to_numpy() for i in (1, 2))
+        size = size.astype(np.int64)
+        lists = [table.column(i).combine_chunks() for i in (4, 5)]
+        token, rest = (x.flatten().to_numpy() for x in lists)
+        row = np.repeat(np.arange(len(seq)), lists[0].value_lengths().to_numpy())
+        _, which, n = np.unique(token, return_inverse=True, return_counts=True)
+        met = n[which] > 1
+        token, rest, row = token[met], rest[met].astype(np.int64), row[met]
+        if not len(token):
+            return
+        bitmap = _bitmaps(table.column(3))
+        tree = Tree(token, row, rest, size, bitmap)
+        here = token[tree.order]
+        hot_token = hot.value[0]
+        if len(hot_token):
+            tree.waits[tree.token_no[np.isin(here, hot_token)]] = True
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in tree.pairs(threshold, plenty, several):
+            left.append(a)
+            right.append(b)
+        a, b = np.concatenate(left), np.concatenate(right)
+        if tree.waits.any():
+            kept = ~tree.waits[tree.token_no[a]]
+            chains = [(a[kept], b[kept])]
+            at = np.flatnonzero(tree.waits[tree.token_no])
+            # chains of growing step join what is alike at little cost
+            for step in 1 << np.arange(int(tree.members.max()).bit_length()):
+                x, y = at[:-step], at[step:]
+                same = tree.token_no[x] == tree.token_no[y]
+                x, y = x[same], y[same]
+                kept = tree.may_reach(x, y, threshold)
+                chains.append((x[kept], y[kept]))
+            a, b = (np.concatenate(x) for x in zip(*chains, strict=True))
+            for begin in range(0, len(at), ROWS):
+                some = at[begin : begin + ROWS]
+                text = tree.row[some]
+                columns = [pa.array(seq[text]), pa.nulls(len(some), pa.int64()), pa.array(here[some]), pa.array(size[text].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in bitmap[text]], pa.binary()), pa.array(tree.rest[some].astype(np.int32))], FOUND_NAMES)
+        yield _distinct(seq[tree.row[a]], seq[tree.row[b]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches, 1):
+            yield from walk(table)
+
+    return run
 
 
-def _candidates(threshold: float, again: bool):
-    """Walks batches sorted by block and size; the block at the end of a batch waits for the next one."""
+def _between_groups(threshold: float):
+    """Walks the trees of tokens again, now that groups are known: (unit, seq, size, bitmap, rest, group, side), in order of unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def columns(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not part.num_rows:
-                return
-            block, seq, size, rest, group = (part.column(i).to_numpy() for i in (0, 1, 2, 4, 5))
-            raw = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(block), BITS // 8)
-            edge = np.concatenate([[True], block[1:] != block[:-1]])
-            alone = edge & np.append(edge[1:], True)
-            bitmap = np.ascontiguousarray(raw[~alone]).view(np.uint64)
-            yield from _block_pairs(block[~alone], seq[~alone], size[~alone].astype(np.int64), bitmap, rest[~alone].astype(np.int64), group[~alone], threshold, again)
-
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count < ROWS:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            block = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(block, block[-1]))
-            yield from columns(whole.slice(0, cut))
-            held = whole.slice(cut).to_batches()
-            count = whole.num_rows - cut if cut else 0
-        if held:
-            yield from columns(pa.Table.from_batches(held).combine_chunks())
+        for table in _whole_runs(batches, ROWS):
+            unit, seq, size, rest, group, side = (table.column(i).to_numpy() for i in (0, 1, 2, 4, 5, 6))
+            tree = Tree(unit, np.arange(len(seq)), rest.astype(np.int64), size.astype(np.int64), _bitmaps(table.column(3)), group, side)
+            for a, b in tree.pairs(threshold):
+                yield _distinct(seq[tree.row[a]], seq[tree.row[b]]).select(["a", "b"])
 
     return run
 
@@ -341,21 +421,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                both = np.sort(np.concatenate([unpack(x), unpack(y)]))
-                overlap = int((both[1:] == both[:-1]).sum())
-                if overlap >= threshold * (len(both) - overlap) - 1e-9:
-                    kept.append(i)
-            at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                keys, sizes = [], []
+                for column in (batch.column(2), batch.column(3)):
+                    sets = column.to_pylist()
+                    sizes.append(np.array([len(x) // WIDTH for x in sets], np.int64))
+                    keys.append(np.repeat(np.arange(len(sets), dtype=np.uint64) << np.uint64(8 * WIDTH), sizes[-1]) | unpack(b"".join(sets)))
+                both = np.sort(np.concatenate(keys))
+                again = both[1:][both[1:] == both[:-1]] >> np.uint64(8 * WIDTH)
+                overlap = np.bincount(again.astype(np.int64), minlength=batch.num_rows)
+                kept = pa.array(np.flatnonzero(overlap >= threshold * (sizes[0] + sizes[1] - overlap) - 1e-9))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
     met = pairs.join(sets.select(F.col("seq").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("seq").alias("b"), F.col("tokens").alias("y")), "b")
     return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _waiting(found: DataFrame, groups: DataFrame, split: int) -> DataFrame:
+    """The entries that are walked again, with their groups, in units of one token; a token of more than `split` entries is
+    parted in chunks, and each two chunks are a unit of two sides, each chunk alone one without."""
+    hot = found.where("b IS NULL").select("token", F.col("a").alias("seq"), "size", "bitmap", "rest")
+    chunks = hot.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / split).cast("int").alias("k"))
+    met = hot.join(groups.withColumnsRenamed({"node": "seq", "root": "group"}), "seq", "left").join(chunks, "token").withColumn("i", F.pmod(F.xxhash64("seq"), F.col("k")).cast("int"))
+    met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    unit = F.xxhash64("token", F.least("i", "j"), F.greatest("i", "j"))
+    side = F.when(F.col("i") == F.col("j"), -1).when(F.col("i") < F.col("j"), 0).otherwise(1)
+    return met.select(unit.alias("unit"), "seq", "size", "bitmap", "rest", F.coalesce("group", F.lit(-1)).alias("group"), side.alias("side"))
+
+
+def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", threshold: float = THRESHOLD, plenty: float = PLENTY, several: int = SEVERAL, split: int = SPLIT) -> DataFrame:
     """(key, group): every row that is linked to another one, with the smallest key of its group.
 
     Two texts are linked if their sets of word triples have at least `threshold`
@@ -363,8 +459,10 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     others. Texts of fewer than three words (null and empty ones too) and rows
     without a key are in no group. Texts with equal sets are one class, of which
     only the smallest key goes through the search. A key that is there twice
-    counts once.
+    counts once. plenty, several and split only say how the work is parted: the
+    groups are the same for any.
     """
+    share = df.sparkSession.sparkContext.broadcast
     read = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("seq"), F.col(text).cast("string").alias("text"))
     sets = durable(read.mapInArrow(_sets, "seq bigint, tokens binary").withColumn("print", F.xxhash64("tokens")).withColumn("size", F.length("tokens")), "sets")
     classes = sets.groupBy("print", "size").agg(F.min("seq").alias("head"), F.max("seq").alias("other")).where("other > head")
@@ -373,40 +471,31 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     copies = durable(copies.select(F.col("head").alias("a"), F.col("seq").alias("b")).distinct(), "copies")
     heads = sets.select("seq", "tokens").join(copies.select(F.col("b").alias("seq")), "seq", "left_anti")
 
-    frequent = df.sparkSession.sparkContext.broadcast(_frequent(sets))
-    postings = heads.mapInArrow(_postings(frequent, threshold), POSTINGS)
-    no_group = F.lit(-1).cast("bigint").alias("group")
-    blocked = postings.select("block", "seq", "size", "bitmap", "rest", no_group).repartition("block").sortWithinPartitions("block", "size")
-    found = durable(blocked.mapInArrow(_candidates(threshold, again=False), FOUND), "candidates")
+    count, held = sets.agg(F.count(F.lit(1)), F.sum(F.col("size") / WIDTH)).first()
+    parts = max(PARTS, int((1 - threshold) * (held or 0) + count) // ENTRIES + 1)
+    some, step = _sample(sets, count)
+    frequent = share(_frequent(some))
+    # no token has more entries than there are texts
+    hot = share(_hot(some, frequent, threshold, split / step, split / step) if count > split else (np.empty(0, np.int64), np.empty(0, np.int64)))
+    postings = heads.mapInArrow(_postings(frequent, hot, parts, threshold), POSTINGS)
+    found = durable(postings.repartition("part").sortWithinPartitions("part").mapInArrow(_candidates(hot, threshold, plenty, several), FOUND), "candidates")
     pairs = durable(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
 
-    first = pairs.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
+    # first every text with the nearest smaller candidate: a chain, so no text has very many; pairs within a group then need no more work
+    first = pairs.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")
     links = durable(_verified(first, sets, threshold), "links")
     groups = durable(components(links), "groups")
-
-    def apart(some: DataFrame) -> DataFrame:
-        """Pairs whose ends are in no common group yet, with the groups (a text in none is its own)."""
-        met = some.join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        return met.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-
-    rest = durable(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
-    for _ in range(MERGES):
-        # while much is left, groups meet by one pair each; most pairs then lie within a group
-        if rest.count() <= CROWDED * groups.count():
-            break
-        one = rest.groupBy(F.greatest("ra", "rb").alias("group")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
-        links = durable(links.unionByName(_verified(one, sets, threshold)), "links")
+    met = pairs.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        met = met.join(groups.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    rest = met.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    links = durable(links.unionByName(_verified(rest, sets, threshold)), "links")
+    if found.where("b IS NULL").take(1):
         groups = durable(components(links), "groups")
-        rest = durable(apart(rest.select("a", "b").join(one, ["a", "b"], "left_anti")), "rest")
-    rest = rest.select("a", "b")
-    hot = found.where("b IS NULL").select("block", F.col("a").alias("seq"), "size", "bitmap", "rest")
-    if hot.take(1):
-        again = hot.join(groups.withColumnsRenamed({"node": "seq", "root": "group"}), "seq", "left")
-        again = again.select("block", "seq", "size", "bitmap", "rest", F.coalesce("group", F.lit(-1)).alias("group")).repartition("block").sortWithinPartitions("block", "size")
-        more = again.mapInArrow(_candidates(threshold, again=True), FOUND).select("a", "b").distinct()
-        rest = rest.unionByName(more).distinct()
-    links = links.unionByName(_verified(rest, sets, threshold)).unionByName(copies)
-    return components(links).select(F.col("node").alias(key), F.col("root").alias("group"))
+        again = _waiting(found, groups, split).repartition("unit").sortWithinPartitions("unit")
+        more = again.mapInArrow(_between_groups(threshold), "a bigint, b bigint").distinct()
+        links = links.unionByName(_verified(more, sets, threshold))
+    return components(links.unionByName(copies)).select(F.col("node").alias(key), F.col("root").alias("group"))
 
 
 def referred(passages: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -63,11 +63,13 @@ def test_groups_against_brute_force(spark, copies):
     assert near_duplicates(df.where("false")).collect() == []
 
 
-def test_hot_blocks_find_the_same(spark, monkeypatch):
-    # constants are read in the workers, so the walk of a large block is tested on its own below; here: one family of many texts
-    texts = corpus(2, 1, 700, edits=8)
+@pytest.mark.parametrize("split", [100_000, 40])
+def test_crowded_tokens_find_the_same(spark, split):
+    # nearly all candidates wait until groups are known; with a small split, tokens go in chunks and units of two sides
+    texts = corpus(2, 3, 120, edits=8)
     df = spark.createDataFrame(list(texts.items()), "seq bigint, text string")
-    assert {r["seq"]: r["group"] for r in near_duplicates(df).collect()} == brute(texts)
+    assert {r["seq"]: r["group"] for r in near_duplicates(df, plenty=0, several=0, split=split).collect()} == brute(texts)
+    assert {r["seq"]: r["group"] for r in near_duplicates(df, split=split).collect()} == brute(texts)
 
 
 @pytest.mark.parametrize("known", [False, True])
@@ -78,11 +80,25 @@ def test_tree_drops_only_what_cannot_match(known):
     bitmap = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64)
     size = bits.sum(axis=1) + draw.integers(0, 5, 180)
     group = np.repeat(np.arange(12), 15) if known else np.full(180, -1)
-    a, b = np.triu_indices(180, 1)
-    kept = texts_may_match(bitmap, size, a, b, 0.6) & ((group[a] != group[b]) | (group[a] < 0))
-    expected = {(min(x, y), max(x, y)) for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True)}
-    found = [(min(x, y), max(x, y)) for p, q in Tree(bitmap, size, group).pairs(0.6) for x, y in zip(p.tolist(), q.tolist(), strict=True)]
+    row = np.concatenate([np.arange(180), np.arange(0, 180, 3), np.arange(50)])
+    token, rest = np.repeat([7, 3, 9], [180, 60, 50]), np.concatenate([size, size[::3] * 3 // 4, size[:50]])
+    a, b = np.triu_indices(len(row), 1)
+    kept = (token[a] == token[b]) & (np.minimum(rest[a], rest[b]) >= 0.375 * (size[row[a]] + size[row[b]]))
+    kept &= texts_may_match(bitmap, size, row[a], row[b], 0.6) & ((group[row[a]] != group[row[b]]) | (group[row[a]] < 0))
+    expected = {(x, y) for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True)}
+    tree = Tree(token, row, rest, size, bitmap, group)
+    found = [tuple(sorted(x)) for p, q in tree.pairs(0.6) for x in zip(tree.order[p].tolist(), tree.order[q].tolist(), strict=True)]
     assert len(found) == len(set(found)) and set(found) == expected
+    assert tree.found.sum() == len(expected) and (known or expected)
+
+
+def test_runs_stay_whole():
+    import pyarrow as pa
+
+    keys = [[1, 1, 2], [], [2, 2, 3], [3], [4, 5, 5]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], ["k"]) for k in keys]
+    assert [t.column(0).to_pylist() for t in signatures._whole_runs(iter(batches), 1)] == [[1, 1], [2, 2, 2], [3, 3], [4], [5, 5]]
+    assert [t.column(0).to_pylist() for t in signatures._whole_runs(iter(batches), 4)] == [[1, 1, 2, 2, 2], [3, 3, 4, 5, 5]]
 
 
 def test_only_named_passages_count(spark):
