@@ -15,20 +15,25 @@ are not indexed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centime.llm.words import blocks, hash_words, words
+from centime.llm.words import blocks, mix, words
 
 #: Words of one shard; bounds a task's memory (about 60 bytes a word).
 SHARD = 1 << 20
 #: One suffix position in so many is kept.
 SAMPLE = 16
-#: Words of test items held at once; more items are searched in several rounds.
-ITEM_WORDS = 1 << 22
+#: Bytes of item tables that are sent to the tasks at once; more items are searched in several rounds.
+ROUND_BYTES = 96 << 20
+#: Bytes that a word of an item takes in these tables: its hash, its number, a phrase with its place and owner.
+WORD_BYTES = 24
+#: Document keys that a task holds before it drops those of documents already searched.
+KEYS = 200_000
 
 
 class Bits:
@@ -133,12 +138,12 @@ class FMIndex:
         kept = (order % SAMPLE == 0) | (symbols[order - 1] == 0)
         self.kept, self.positions = Bits(kept), order[kept]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of phrases (one a row): which ones occur, and the first and last (excluded) suffix that begins with them."""
-        alive = np.arange(len(phrases))
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size, np.int64)
-        for column in reversed(range(phrases.shape[1])):
-            symbol = phrases[alive, column]
+    def search(self, sequence: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of phrases (the `least` symbols of sequence from each start on): which ones occur, and the first and last (excluded) suffix that begins with them."""
+        alive = np.arange(len(starts))
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
+        for step in reversed(range(least)):
+            symbol = sequence[starts[alive] + step].astype(np.int64)
             low = self.first[symbol] + self.wavelet.rank(symbol, low)
             high = self.first[symbol] + self.wavelet.rank(symbol, high)
             left = low < high
@@ -163,27 +168,58 @@ class FMIndex:
         return found
 
 
-def phrases_of(items: list[tuple[int, str | None]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary: sorted word hashes, phrases: rows of numbers from 1 on, item index of each phrase), phrases distinct per item."""
-    hashed = [hash_words(text or "") for _, text in items]
-    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *hashed]))
-    rows, owner = [np.empty((0, least), np.int64)], [np.empty(0, np.int64)]
-    for i, h in enumerate(hashed):
-        if len(h) >= least:
-            numbers = np.searchsorted(vocabulary, h) + 1
-            windows = np.unique(np.lib.stride_tricks.sliding_window_view(numbers, least), axis=0)
-            rows.append(windows)
-            owner.append(np.full(len(windows), i))
-    return vocabulary, np.concatenate(rows), np.concatenate(owner)
+class Items(NamedTuple):
+    """Test items as tables: their words as numbers from 1 on, one after the other, and their distinct phrases.
+
+    vocabulary: sorted word hashes; sequence: numbers of all words; starts: where
+    each distinct phrase begins in it; begin, owner: the items of phrase i are
+    ids[owner[begin[i] : begin[i + 1]]].
+    """
+
+    vocabulary: np.ndarray
+    sequence: np.ndarray
+    starts: np.ndarray
+    begin: np.ndarray
+    owner: np.ndarray
+    ids: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return sum(table.nbytes for table in self)
+
+
+def items_of(ids: list[int], hashed: list[np.ndarray], least: int) -> Items:
+    """Tables of items from the hashes of their words. Phrases are compared by a hash and then word by word."""
+    sizes = np.array([len(h) for h in hashed], np.int64)
+    whole = np.concatenate([np.empty(0, np.uint64), *hashed])
+    vocabulary, number = np.unique(whole, return_inverse=True)
+    sequence = (number.reshape(-1) + 1).astype(np.int32)
+    item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    count = max(0, len(sequence) - least + 1)
+    start = np.flatnonzero(item[:count] == item[len(item) - count :]).astype(np.int32 if len(item) < 1 << 31 else np.int64)
+    value = np.zeros(len(start), np.uint64)
+    for step in range(least):
+        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + sequence[start + step].astype(np.uint64))
+    order = np.lexsort((item[start], value))
+    start, value = start[order], value[order]
+    new = np.ones(len(start), bool)
+    near = np.flatnonzero(value[1:] == value[:-1]) + 1
+    differs = np.zeros(len(near), bool)
+    for step in range(least):
+        differs |= sequence[start[near] + step] != sequence[start[near - 1] + step]
+    new[near] = differs
+    phrase, owner = np.cumsum(new) - 1, item[start]
+    once = np.ones(len(start), bool)
+    once[1:] = (phrase[1:] != phrase[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.searchsorted(phrase[once], np.arange(int(new.sum()) + 1)).astype(np.int32)
+    return Items(vocabulary, sequence, start[new], begin, owner[once], np.array(ids, np.int64))
 
 
 class _Shard:
     """Runs of known words of several documents, indexed and searched when there are enough."""
 
-    def __init__(self, vocabulary: np.ndarray, phrases: np.ndarray, owner: np.ndarray, ids: list, least: int):
-        self.vocabulary, self.phrases, self.owner, self.ids, self.least = vocabulary, phrases, owner, np.array(ids, np.int64), least
-        self.distinct, self.which = np.unique(phrases, axis=0, return_inverse=True)
-        self.which = self.which.reshape(-1)
+    def __init__(self, items: Items, least: int):
+        self.items, self.least = items, least
         self.clear()
 
     def clear(self) -> None:
@@ -225,8 +261,9 @@ class _Shard:
             return
         symbols, docs, places = (np.concatenate(x) for x in (self.symbols, self.docs, self.places))
         self.clear()
-        index = FMIndex(symbols, len(self.vocabulary))
-        found, low, high = index.search(self.distinct)
+        items = self.items
+        index = FMIndex(symbols, len(items.vocabulary))
+        found, low, high = index.search(items.sequence, items.starts, self.least)
         if not len(found):
             return
         sizes = high - low
@@ -234,14 +271,20 @@ class _Shard:
         position = index.locate(np.repeat(low, sizes) + offset)
         phrase = np.repeat(found, sizes)
         # a phrase of several items counts for each of them
-        by_phrase = np.argsort(self.which, kind="stable")
-        begin = np.searchsorted(self.which[by_phrase], np.arange(len(self.distinct) + 1))
-        several = begin[phrase + 1] - begin[phrase]
+        several = (items.begin[phrase + 1] - items.begin[phrase]).astype(np.int64)
         step = np.arange(int(several.sum())) - np.repeat(np.cumsum(several) - several, several)
-        item = self.owner[by_phrase[np.repeat(begin[phrase], several) + step]]
+        item = items.owner[np.repeat(items.begin[phrase], several) + step]
         position = np.repeat(position, several)
         yield merged(docs[position], item, places[position], self.least)
 
+    def kept(self, keys: list) -> list:
+        """The keys of documents that are still waiting to be searched; they are numbered anew."""
+        if not self.docs:
+            return []
+        used = np.unique(np.concatenate(self.docs))
+        self.docs = [np.searchsorted(used, d) for d in self.docs]
+        return [keys[i] for i in used.tolist()]
+
 
 def merged(doc: np.ndarray, item: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """Spans (doc, item, begin, end) of words: hits of `size` words that overlap or touch become one."""
@@ -252,15 +295,15 @@ def merged(doc: np.ndarray, item: np.ndarray, place: np.ndarray, size: int) -> t
     return doc[new], item[new], place[new], place[last] + size
 
 
-def _spans(vocabulary: np.ndarray, phrases: np.ndarray, owner: np.ndarray, ids: list, least: int, kind: pa.DataType):
+def _spans(items: Items, least: int, kind: pa.DataType):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(vocabulary, phrases, owner, ids, least)
+        shard, vocabulary = _Shard(items, least), items.vocabulary
         keys: list = []  # of documents, by the number that stands for them in the shard
 
         def out(results: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             for doc, item, begin, end in results:
                 key = pa.array([keys[i] for i in doc.tolist()], kind)
-                columns = [key, pa.array(shard.ids[item]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))]
+                columns = [key, pa.array(items.ids[item]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "item", "word_begin", "word_end"])
 
         for batch in batches:
@@ -274,14 +317,14 @@ def _spans(vocabulary: np.ndarray, phrases: np.ndarray, owner: np.ndarray, ids:
                 keys += batch.column(0).slice(begin, end - begin).to_pylist()
                 if len(symbol):
                     yield from out(shard.add(symbol, found.text + base, np.arange(len(symbol)) - found.first[found.text]))
-            if not shard.symbols:
-                keys = []
+                if not shard.symbols or len(keys) > KEYS:
+                    keys = shard.kept(keys)
         yield from out(shard.flush())
 
     return search
 
 
-def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", least: int = 15) -> DataFrame:
+def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", least: int = 15, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(doc_key, item_key, word_begin, word_end): maximal spans of documents that repeat phrases of test items.
 
     A span is made of runs of at least `least` words that the item has too; word
@@ -290,22 +333,20 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     phrase, have no span; a null document key stays null; rows with equal keys
     are searched each for itself; items that share a phrase are all reported;
     items with null key or text are left out. Documents are indexed where they
-    are read: no shuffle. Items are collected in rounds of at most ITEM_WORDS
-    words, a bound on what is sent to the tasks; any number of rounds may follow.
+    are read: no shuffle. Items are split into words in the tasks and sent on in
+    rounds whose tables take at most about `round_bytes` (a longer single item
+    is a round of its own); any number of rounds may follow.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_key].dataType.simpleString()
     whole = docs.select(F.col(doc_key).alias("key"), F.col(text).cast("string").alias("text"))
-    batch: list[tuple[int, str]] = []
-    held, rounds = 0, []
 
-    def search() -> DataFrame:
-        vocabulary, phrases, owner = phrases_of(batch, least)
-        tables = spark.sparkContext.broadcast((vocabulary, phrases, owner, [i for i, _ in batch]))
+    def search(ids: list[int], hashed: list[np.ndarray]) -> DataFrame:
+        tables = spark.sparkContext.broadcast(tuple(items_of(ids, hashed, least)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, phrases, owner, ids = tables.value
-            if not len(phrases):
+            held = Items(*tables.value)
+            if not len(held.starts):
                 for _ in batches:
                     pass
                 return
@@ -314,25 +355,42 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
                 return
             from itertools import chain
 
-            yield from _spans(vocabulary, phrases, owner, ids, least, first.schema.field(0).type)(chain([first], batches))
+            yield from _spans(held, least, first.schema.field(0).type)(chain([first], batches))
 
         return whole.mapInArrow(run, f"key {kind}, item bigint, word_begin int, word_end int")
 
-    chosen = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
-    for row in chosen.toLocalIterator():
-        batch.append((row["item"], row["text"]))
-        held += len(row["text"]) // 5 + 1
-        if held >= ITEM_WORDS:
-            rounds.append(search())
-            batch, held = [], 0
-    if batch or not rounds:
-        rounds.append(search())
+    chosen = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(text).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    ids, hashed, held, rounds = [], [], 0, []
+    for row in chosen.mapInArrow(_hashed(least), "item bigint, words binary").toLocalIterator():
+        size = len(row["words"]) // 8 * WORD_BYTES
+        if ids and held + size > round_bytes:
+            rounds.append(search(ids, hashed))
+            ids, hashed, held = [], [], 0
+        ids.append(row["item"])
+        hashed.append(np.frombuffer(bytes(row["words"]), np.uint64))
+        held += size
+    rounds.append(search(ids, hashed))
     spans = rounds[0]
     for other in rounds[1:]:
         spans = spans.unionByName(other)
     return spans.select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "word_begin", "word_end")
 
 
+def _hashed(least: int):
+    """(item, words): the hashes of an item's words; items shorter than a phrase are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for begin, end in blocks(texts):
+                found = words(texts[begin:end])
+                kept = [i for i in range(end - begin) if found.first[i + 1] - found.first[i] >= least]
+                raw = [found.hash[found.first[i] : found.first[i + 1]].tobytes() for i in kept]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin).take(pa.array(kept, pa.int64())), pa.array(raw, pa.binary())], ["item", "words"])
+
+    return run
+
+
 def leaks(docs: DataFrame, items: DataFrame, least: int = 15) -> DataFrame:
     """(doc_id, item_id): documents and items that share at least `least` words in a row. Distinct."""
     return leaked_spans(docs, items, least=least).select("doc_id", "item_id").distinct()

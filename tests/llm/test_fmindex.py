@@ -17,7 +17,7 @@ def test_search_and_locate_against_scanning(seed):
     symbols = np.array([s for run in runs for s in [*run, 0]], np.int64)
     index = FMIndex(symbols, 3)
     phrases = np.array([[draw.randrange(1, 4) for _ in range(5)] for _ in range(60)], np.int64)
-    found, low, high = index.search(phrases)
+    found, low, high = index.search(phrases.ravel(), np.arange(0, 300, 5), 5)
     hits = {int(p): sorted(index.locate(np.arange(a, b)).tolist()) for p, a, b in zip(found, low, high, strict=True)}
     for p, phrase in enumerate(phrases):
         assert hits.get(p, []) == [i for i in range(len(symbols) - 4) if (symbols[i : i + 5] == phrase).all()]
@@ -61,7 +61,33 @@ def test_runs_longer_than_a_shard(monkeypatch):
     draw = random.Random(3)
     phrases = np.array([[draw.randrange(1, 3) for _ in range(5)] for _ in range(8)], np.int64)
     text = np.array([draw.randrange(1, 3) for _ in range(500)], np.int64)
-    shard = fmindex._Shard(np.array([1, 2], np.uint64), phrases, np.arange(8), list(range(8)), 5)
+    items = fmindex.items_of(list(range(8)), [np.array([0, 1], np.uint64)[p - 1] for p in phrases], 5)
+    assert items.vocabulary.tolist() == [0, 1] and len(items.owner) == 8
+    shard = fmindex._Shard(items, 5)
     spans = [s for part in (*shard.add(text, np.zeros(500, np.int64), np.arange(500)), *shard.flush()) for s in zip(*(x.tolist() for x in part), strict=True)]
     covered = {(item, p) for _, item, a, b in spans for p in range(a, b)}
     assert covered == {(k, p) for k, phrase in enumerate(phrases) for i in range(496) if (text[i : i + 5] == phrase).all() for p in range(i, i + 5)}
+
+
+def test_item_tables_have_each_phrase_once():
+    hashed = [np.array(x, np.uint64) for x in ([5, 9, 5, 9, 5, 9], [9, 5, 9, 7], [5], [5, 9, 5])]
+    items = fmindex.items_of([10, 11, 12, 13], hashed, 3)
+    phrases = [tuple(items.vocabulary[items.sequence[s : s + 3] - 1].tolist()) for s in items.starts]
+    owners = [sorted(items.ids[items.owner[a:b]].tolist()) for a, b in zip(items.begin, items.begin[1:], strict=False)]
+    assert dict(zip(phrases, owners, strict=True)) == {(5, 9, 5): [10, 13], (9, 5, 9): [10, 11], (5, 9, 7): [11]}
+    assert len(fmindex.items_of([], [], 3).starts) == 0 and len(fmindex.items_of([1], [np.array([3], np.uint64)], 3).starts) == 0
+
+
+def test_rounds_find_the_same(spark, monkeypatch):
+    docs, items = frames(spark)
+    whole = sorted(map(str, leaked_spans(docs, items).collect()))
+    assert sorted(map(str, leaked_spans(docs, items, round_bytes=1).collect())) == whole and whole
+
+
+def test_keys_of_searched_documents_are_dropped():
+    items = fmindex.items_of([1], [np.arange(5, dtype=np.uint64)], 5)
+    shard = fmindex._Shard(items, 5)
+    list(shard.add(np.array([1, 2, 3, 4, 5, 0]), np.array([2, 2, 2, 2, 2, 3]), np.arange(6)))
+    assert shard.kept(["a", "b", "c", "d"]) == ["c"] and shard.docs[0].tolist() == [0] * 6
+    assert [x.tolist() for x in next(iter(shard.flush()))] == [[0], [0], [0], [5]]
+    assert shard.kept(["c"]) == []
