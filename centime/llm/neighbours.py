@@ -2,15 +2,19 @@
 
 A node of a tree holds a bundle of sparse random directions, one along each
 dimension, of random length; a vector goes to the direction on which its
-projection is largest. Rare dimensions get longer directions, as they part the
-collection more finely. A node splits while its leaf would be too large; where
-vectors leave by the same directions to the end, nodes split at the median of a
-dense random projection. The top of the trees is fitted on a bounded sample, the
-rest in the tasks, where every vector is indexed.
-
-A search walks all trees at once: branches wait in one queue ordered by how
-little the projection falls short of the largest, and the first ones of the
-whole forest are visited. Candidates of a leaf are ranked by their exact cosine.
+projection is largest, of those not taken or passed over above. Rare dimensions
+get longer directions, as they part the collection more finely. A node splits
+while it holds too many vectors: level by level, the vectors of all nodes are
+counted, so the depth follows the count. Where vectors leave by the same
+directions to the end, nodes split at the median of a dense random projection,
+fitted on a sample and, below that, in the tasks.
+
+A search walks all trees at once: nodes wait in one queue, ordered by how much
+the projections fall short of the largest on the way, and the first leaves of
+the whole forest are visited. At every node on the way, the next best branch is
+put into the queue. A visit carries the directions it has used up, so that a leaf
+that a task splits further takes it where a vector indexed there went. Candidates
+of a leaf are ranked by their exact cosine.
 """
 
 from __future__ import annotations
@@ -19,23 +23,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from centime.llm.batches import whole_runs
 from centime.llm.words import mix
 from centime.session import durable
 
 TREES = 6
 #: Leaves visited for a vector over the whole forest, its own leaf in each tree among them.
 VISITS = 9
-#: Vectors of a leaf at most.
+#: Indexed vectors of a leaf at most.
 LEAF = 192
-#: Branchings by direction before median splits begin.
-DEPTH = 4
-#: Vectors the top of the trees is fitted on, at most.
-SAMPLE = 20_000
-#: A node of the sample splits in the fitted top while it holds more than this share of it.
-HOT = 1 / 500
+#: Branchings by direction before median splits begin; directions of a vector that are looked at.
+DEPTH, WIDTH = 4, 7
+#: Vectors that frequencies of dimensions and medians are fitted on, at most; vectors of the sample that a median takes at least.
+SAMPLE, FEW = 20_000, 16
+#: Nodes that split, at most about: the bound of what is sent to the tasks (8 to 16 bytes a node). From LEAF * NODES / TREES vectors on
+#: (64 million), fitted leaves are larger than LEAF and are split further in the tasks.
+NODES = 2_000_000
+#: Spread of a dense projection of unit vectors; distances to a median count in this unit.
+SPREAD = 0.29
+#: Vectors whose queues are worked off together, rows that are ranked together.
+QUEUES, ROWS = 4096, 20_000
 
 
 def _uniform(x: np.ndarray, seed: int) -> np.ndarray:
@@ -68,14 +79,14 @@ class Vectors:
         return len(self.first) - 1
 
     def branches(self, tree: int, rare: "Rarity") -> tuple[np.ndarray, np.ndarray]:
-        """(dimension, shortfall) of the DEPTH + 1 directions with the largest projections, a row for each vector; -1 behind the last.
+        """(dimension, shortfall) of the WIDTH directions with the largest projections, a row for each vector; -1 behind the last.
 
         Projections are compared as logarithms; the shortfall is that to the largest.
         """
         length = -np.log(_uniform(self.dim, tree + 1) + 1e-18)
         fall = np.log(length) - np.log(np.abs(self.weight)) + rare.log_of(self.dim)
         order = np.lexsort((self.dim, fall, self.row))
-        width = DEPTH + 1
+        width = WIDTH
         place = np.arange(len(order)) - np.repeat(self.first[:-1], np.diff(self.first))
         kept = place < width
         dims, falls = np.full((len(self), width), -1, np.int64), np.full((len(self), width), np.inf)
@@ -89,14 +100,14 @@ class Vectors:
             self.projected[seed] = np.bincount(self.row, self.weight * (_uniform(self.dim, 7919 + seed) - 0.5), minlength=len(self))
         return self.projected[seed]
 
-    def cosines(self, rows: np.ndarray) -> np.ndarray:
-        """All cosines among some rows."""
+    def cosines(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Cosines of some rows with those of them at the places others."""
         sizes = self.first[rows + 1] - self.first[rows]
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[rows], sizes)
         dims, column = np.unique(self.dim[at], return_inverse=True)
         dense = np.zeros((len(rows), len(dims)))
         dense[np.repeat(np.arange(len(rows)), sizes), column] = self.weight[at]
-        return dense @ dense.T
+        return dense @ dense[others].T
 
 
 class Rarity:
@@ -113,193 +124,249 @@ class Rarity:
         return np.where(self.dims[at] == dims, self.log[at], 0.0)
 
 
+def _is_in(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether values are among held ones, which are sorted."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
 class Top:
-    """The fitted top of the forest: which nodes split, and the medians of those that split by a dense projection."""
+    """The fitted part of the forest: which nodes split, and the medians of those that split by a dense projection.
 
-    def __init__(self, payloads: list[bytes]):
-        vectors = Vectors(payloads)
-        self.rare = Rarity(vectors.dim, len(vectors))
-        self.splits: list[np.ndarray] = []  # by level: keys of nodes that split by direction
-        self.medians: list[dict[int, float]] = []  # by further level: key of node -> median
-        most = max(LEAF, int(len(vectors) * HOT))
-        rows, keys, paths = [], [], []
-        for tree in range(TREES):
-            dims, _ = vectors.branches(tree, self.rare)
-            rows.append(np.arange(len(vectors)))
-            paths.append(dims)
-            keys.append(_join(np.full(len(vectors), tree), dims[:, 0] if len(vectors) else np.empty(0, np.int64)))
-        row, key, path = np.concatenate(rows), np.concatenate(keys), np.concatenate(paths)
-        for level in range(1, DEPTH):
-            values, which, counts = np.unique(key, return_inverse=True, return_counts=True)
-            self.splits.append(values[counts > most])
-            split = (counts > most)[which]
-            row, path = row[split], path[split]
-            key = _join(key[split], path[:, level])
-        for level in range(12):
-            values, which, counts = np.unique(key, return_inverse=True, return_counts=True)
-            found = {}
-            side = np.zeros(len(key), bool)
-            value = vectors.projection(level) if len(key) else np.empty(0)
-            for k in np.flatnonzero(counts > most):
-                inside = np.flatnonzero(which == k)
-                found[int(values[k])] = float(np.median(value[row[inside]]))
-                side[inside] = value[row[inside]] > found[int(values[k])]
-            self.medians.append(found)
-            go = (counts > most)[which]
-            row, key = row[go], _join(key[go], side[go].astype(np.int64) + 1)
-            if not found:
-                break
-
-    def leaf(self, vectors: Vectors, rows: np.ndarray, tree: int, path: np.ndarray) -> np.ndarray:
-        """The fitted node that rows of a tree come to by their paths."""
-        key = _join(np.full(len(rows), tree), path[:, 0])
-        open_ = np.arange(len(rows))
-        for level, splits in enumerate(self.splits, 1):
-            open_ = open_[np.isin(key[open_], splits)]
-            if not len(open_):
-                return key
-            key[open_] = _join(key[open_], path[open_, level])
-        for level, medians in enumerate(self.medians):
-            if not medians:
-                break
-            held = np.array(sorted(medians), np.uint64)
-            open_ = open_[np.isin(key[open_], held)]
-            if not len(open_):
-                break
-            middle = np.array([medians[int(k)] for k in key[open_]])
-            key[open_] = _join(key[open_], (vectors.projection(level)[rows[open_]] > middle).astype(np.int64) + 1)
-        return key
+    The root of tree t is node t. splits[l]: sorted keys of the nodes below l
+    directions that split by direction (l from 1); medians[m]: sorted keys of nodes
+    below m medians, and the medians.
+    """
+
+    def __init__(self, rare: Rarity):
+        self.rare = rare
+        self.splits: list[np.ndarray] = [np.arange(TREES, dtype=np.uint64)]
+        self.medians: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def open_nodes(self, vectors: Vectors, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, nodes): the rows that come to a node below as many directions as there are levels, and which."""
+        dims, _ = vectors.branches(tree, self.rare)
+        rows, key = np.arange(len(vectors)), np.full(len(vectors), tree, np.uint64)
+        for level, splits in enumerate(self.splits):
+            kept = _is_in(key, splits)
+            rows = rows[kept]
+            key = _join(key[kept], dims[rows, level])
+        return rows, key
+
+    def fit_medians(self, vectors: Vectors, counts: dict[int, int], most: int) -> None:
+        """Medians of nodes with so many vectors, from a sample."""
+        parts = [self.open_nodes(vectors, tree) for tree in range(TREES)]
+        row, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        share = np.array([counts.get(int(k), 0) for k in key], np.float64)
+        level = 0
+        while True:
+            nodes, which, n = np.unique(key, return_inverse=True, return_counts=True)
+            size = np.zeros(len(nodes))
+            size[which] = share
+            split = (size > most) & (n >= FEW)
+            go = split[which]
+            row, key, which, share = row[go], key[go], which[go], share[go]
+            if not len(row):
+                return
+            value = vectors.projection(level)[row]
+            order = np.lexsort((value, which))
+            first = np.searchsorted(which[order], np.flatnonzero(split))
+            middle = np.zeros(len(nodes))
+            middle[split] = value[order][first + n[split] // 2]
+            self.medians.append((nodes[split], middle[split]))
+            key, share, level = _join(key, (value >= middle[which]).astype(np.int64) + 1), share / 2, level + 1
+
+
+def _fitted(classes: DataFrame, sample: list[bytes], count: int) -> Top:
+    """The top of the forest: nodes of more than LEAF vectors split (see NODES)."""
+    spark = classes.sparkSession
+    vectors = Vectors(sample)
+    top = Top(Rarity(vectors.dim, len(vectors)))
+    most = max(LEAF, TREES * count // NODES)
+    counted: dict[int, int] = {}
+    for level in range(1, DEPTH + 1):
+        shared = spark.sparkContext.broadcast(top)
+        nodes = classes.select("vector").mapInArrow(_counted(shared), "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > most).toArrow()
+        key, n = nodes.column(0).to_numpy().view(np.uint64), nodes.column(1).to_numpy()
+        if not len(key):
+            break
+        if level < DEPTH:
+            top.splits.append(np.sort(key))
+        else:
+            counted = dict(zip(key.tolist(), n.tolist(), strict=True))
+    top.fit_medians(vectors, counted, most)
+    return top
+
+
+def _counted(shared: Broadcast):
+    """(node, n): vectors of each batch below the nodes that are not fitted yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = Vectors(batch.column(0).to_pylist())
+                keys = np.concatenate([shared.value.open_nodes(vectors, tree)[1] for tree in range(TREES)])
+                node, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n)], ["node", "n"])
+
+    return run
+
+
+def _searched(top: Top, vectors: Vectors) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, leaf, tree, used, own) of the visits of each vector, one visit of all vectors after the other.
+
+    used: bits of the directions, by rank, that were taken or passed over.
+    """
+    count = len(vectors)
+    both = [vectors.branches(tree, top.rare) for tree in range(TREES)]
+    dims, falls = np.stack([d for d, _ in both]), np.stack([f for _, f in both])
+    room = TREES + VISITS * (DEPTH + len(top.medians))
+    short = np.full((count, room), np.inf)
+    node = np.zeros((count, room), np.uint64)
+    level, used, root = (np.zeros((count, room), np.int16) for _ in range(3))
+    # all roots come first
+    short[:, :TREES] = np.arange(TREES) - TREES - 1.0
+    node[:, :TREES] = root[:, :TREES] = np.arange(TREES)
+    held = np.full(count, TREES)
+
+    def push(row: np.ndarray, *entry: np.ndarray) -> None:
+        at = held[row]
+        for table, value in zip((short, node, level, used, root), entry, strict=True):
+            table[row, at] = value
+        held[row] += 1
+
+    for visit in range(VISITS):
+        at = np.argmin(short, axis=1)
+        row = np.flatnonzero(np.isfinite(short[np.arange(count), at]))
+        at = at[row]
+        far = np.maximum(short[row, at], 0.0)
+        short[row, at] = np.inf
+        key, deep, gone, tree = node[row, at], level[row, at], used[row, at].astype(np.int64), root[row, at].astype(np.int64)
+        for depth, splits in enumerate(top.splits):
+            here = np.flatnonzero(deep == depth)
+            here = here[_is_in(key[here], splits)]
+            free = (gone[here, None] >> np.arange(WIDTH)) & 1 == 0
+            best = np.argmax(free, axis=1)
+            free[np.arange(len(here)), best] = False
+            second = np.argmax(free, axis=1)
+            dim, fall = dims[tree[here], row[here]], falls[tree[here], row[here]]
+            every = np.arange(len(here))
+            some = free.any(axis=1) & (dim[every, second] >= 0)
+            other = here[some]
+            gap = fall[every, second][some] - fall[every, best][some]
+            passed = gone[other] | 1 << best[some] | 1 << second[some]
+            push(row[other], far[other] + gap, _join(key[other], dim[every, second][some]), np.full(len(other), depth + 1), passed, tree[other])
+            key[here] = _join(key[here], dim[every, best])
+            gone[here] |= 1 << best
+            deep[here] += 1
+        for depth, (nodes, middles) in enumerate(top.medians):
+            here = np.flatnonzero(deep == len(top.splits) + depth)
+            here = here[_is_in(key[here], nodes)]
+            away = vectors.projection(depth)[row[here]] - middles[np.searchsorted(nodes, key[here])]
+            side = (away >= 0).astype(np.int64)
+            push(row[here], far[here] + np.abs(away) / SPREAD, _join(key[here], 2 - side), np.full(len(here), len(top.splits) + depth + 1), gone[here], tree[here])
+            key[here] = _join(key[here], side + 1)
+            deep[here] += 1
+        yield row, key, tree, gone, np.full(len(row), visit < TREES)
+
+
+VISIT = "leaf bigint, tree tinyint, used smallint, own boolean, seq bigint, vector binary"
+VISIT_NAMES = ["leaf", "tree", "used", "own", "seq", "vector"]
 
 
 def _visits(top: Top):
     """Every vector to the leaves it visits; own: it is indexed there, else it only searches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            payloads = batch.column(1).to_pylist()
-            vectors = Vectors(payloads)
-            count = len(vectors)
-            rows, trees, leaves, falls, own = [], [], [], [], []
-            for tree in range(TREES):
-                dims, fall = vectors.branches(tree, top.rare)
-                here = np.arange(count)
-                # the nearest branch, then in the queue: the next one at the root, and the two below in the other order
-                for skip in (None, 0, 1):
-                    if skip is None:
-                        some, path, short = here, dims, np.full(count, -np.inf)
-                    else:
-                        path = np.delete(dims, skip, axis=1)
-                        short = fall[:, skip + 1] - fall[:, skip]
-                        some = here[dims[:, skip + 1] >= 0]
-                        path, short = path[some], short[some]
-                    rows.append(some)
-                    trees.append(np.full(len(some), tree))
-                    leaves.append(top.leaf(vectors, some, tree, path))
-                    falls.append(short)
-                    own.append(np.full(len(some), skip is None))
-            row, tree, leaf, fall, mine = (np.concatenate(x) for x in (rows, trees, leaves, falls, own))
-            # one queue of each vector over all trees; a leaf is visited once
-            order = np.lexsort((leaf, fall, row))
-            row, tree, leaf, fall, mine = row[order], tree[order], leaf[order], fall[order], mine[order]
-            _, again = np.unique(_join(leaf, row), return_index=True)
-            again.sort()
-            row, tree, leaf, mine = row[again], tree[again], leaf[again], mine[again]
-            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
-            kept = place < VISITS
-            row, tree, leaf, mine = row[kept], tree[kept], leaf[kept], mine[kept]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf.view(np.int64)), pa.array(tree.astype(np.int8)), pa.array(mine), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))],
-                ["leaf", "tree", "own", "seq", "vector"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUEUES):
+                batch = whole.slice(at, QUEUES)
+                vectors = Vectors(batch.column(1).to_pylist())
+                for row, leaf, tree, used, own in _searched(top, vectors):
+                    if len(row):
+                        place = pa.array(row)
+                        columns = [leaf.view(np.int64), tree.astype(np.int8), used.astype(np.int16), own]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0).take(place), batch.column(1).take(place)], VISIT_NAMES)
 
     return run
 
 
-def _groups(vectors: Vectors, rows: np.ndarray, tree: int, rare: Rarity, level: int = 1, path: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Rows of one fitted leaf split further down to leaves of LEAF rows: by direction, then at medians."""
-    if len(rows) <= LEAF:
+def _paths(dims: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The directions of each row that are left, in order, and -1 behind the last."""
+    gone = (used[:, None] >> np.arange(WIDTH)) & 1
+    order = np.argsort(gone, axis=1, kind="stable")
+    return np.where(np.take_along_axis(gone, order, axis=1) == 0, np.take_along_axis(dims, order, axis=1), -1)
+
+
+def _groups(vectors: Vectors, rows: np.ndarray, own: np.ndarray, path: np.ndarray, level: int = 0) -> Iterator[np.ndarray]:
+    """Rows of one fitted leaf split further until at most LEAF of them are indexed: by the directions left to them, then at medians."""
+    if int(own[rows].sum()) <= LEAF:
         yield rows
         return
-    if path is None:
-        path = vectors.branches(tree, rare)[0]
-    if level <= DEPTH:
-        values = path[rows, level] if level < path.shape[1] else np.full(len(rows), -1)
+    if level < DEPTH:
+        values = path[rows, level]
         order = np.argsort(values, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0]))
-        for part in np.split(rows[order], edges[1:]):
-            yield from _groups(vectors, part, tree, rare, level + 1, path)
+        edges = np.flatnonzero(np.diff(values[order])) + 1
+        for part in np.split(rows[order], edges):
+            yield from _groups(vectors, part, own, path, level + 1)
         return
     value = vectors.projection(100 + level)[rows]
     order = np.argsort(value, kind="stable")
-    half = len(rows) // 2
-    yield from _groups(vectors, rows[order[:half]], tree, rare, level + 1, path)
-    yield from _groups(vectors, rows[order[half:]], tree, rare, level + 1, path)
+    # as many indexed rows on either side; visitors go by their value
+    half = int(np.searchsorted(np.cumsum(own[rows][order]), int(own[rows].sum()) // 2)) + 1
+    yield from _groups(vectors, rows[order[:half]], own, path, level + 1)
+    yield from _groups(vectors, rows[order[half:]], own, path, level + 1)
 
 
 def _ranked(rare: Rarity, k: int, least: float):
     """Exact cosines within each leaf; of every vector the k best indexed ones."""
 
-    def rank(leaf: np.ndarray, tree: np.ndarray, own: np.ndarray, seq: np.ndarray, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def rank(leaf: np.ndarray, tree: np.ndarray, used: np.ndarray, own: np.ndarray, seq: np.ndarray, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
         ends = np.append(starts[1:], len(leaf))
-        several = ends - starts > 1
+        # a leaf where nothing is indexed, or just the one searching vector, has no candidates
+        several = (ends - starts > 1) & np.logical_or.reduceat(own, starts)
         chosen = np.concatenate([np.empty(0, np.int64), *(np.arange(a, b) for a, b in zip(starts[several], ends[several], strict=True))])
         if not len(chosen):
             return
-        tree, own, seq, leaf = tree[chosen], own[chosen], seq[chosen], leaf[chosen]
+        tree, used, own, seq, leaf = tree[chosen], used[chosen], own[chosen], seq[chosen], leaf[chosen]
         vectors = Vectors([payloads[i] for i in chosen])
         starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
         ends = np.append(starts[1:], len(leaf))
         a_out, b_out, c_out = [], [], []
         for begin, end in zip(starts.tolist(), ends.tolist(), strict=True):
-            part = vectors if end - begin <= LEAF else Vectors([payloads[i] for i in chosen[begin:end]])
-            offset = 0 if part is vectors else begin
-            for rows in _groups(part, np.arange(begin - offset, end - offset), int(tree[begin]), rare):
-                if len(rows) < 2:
-                    continue
+            part, offset = vectors, 0
+            path = np.empty((0, 0), np.int64)
+            if int(own[begin:end].sum()) > LEAF:
+                part, offset = Vectors([payloads[i] for i in chosen[begin:end]]), begin
+                path = _paths(part.branches(int(tree[begin]), rare)[0], used[begin:end].astype(np.int64))
+            for rows in _groups(part, np.arange(begin - offset, end - offset), own[offset:], path):
                 here = rows + offset
-                cosine = part.cosines(rows)
-                cosine[:, ~own[here]] = -2
-                cosine[seq[here][:, None] == seq[here][None, :]] = -2
+                indexed = np.flatnonzero(own[here])
+                if len(rows) < 2 or not len(indexed):
+                    continue
+                cosine = part.cosines(rows, indexed)
+                near = here[indexed]
+                cosine[seq[here][:, None] == seq[near][None, :]] = -2
                 i, j = np.nonzero(cosine >= least)
                 if not len(i):
                     continue
                 c = np.round(cosine[i, j], 12)
-                order = np.lexsort((seq[here[j]], -c, i))
+                order = np.lexsort((seq[near[j]], -c, i))
                 i, j, c = i[order], j[order], c[order]
                 first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
                 kept = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
                 a_out.append(seq[here[i[kept]]])
-                b_out.append(seq[here[j[kept]]])
+                b_out.append(seq[near[j[kept]]])
                 c_out.append(c[kept])
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a_out, b_out, c_out)], ["seq", "near", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for batch in batches:  # sorted by leaf; the last leaf of a block waits for the next batch
-            held.append(batch)
-            count += batch.num_rows
-            if count < 20_000:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            leaf = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(leaf, leaf[-1]))
-            if cut:
-                yield from columns(whole.slice(0, cut))
-                whole = whole.slice(cut)
-            held, count = whole.to_batches(), whole.num_rows if cut else 0
-        if held:
-            yield from columns(pa.Table.from_batches(held).combine_chunks())
-
-    def columns(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        if part.num_rows:
-            leaf, tree, own, seq = (part.column(i).to_numpy() for i in range(4))
-            yield from rank(leaf, tree, own, seq, part.column(4).to_pylist())
+        for part in whole_runs(batches, ROWS):
+            leaf, tree, used, own, seq = (part.column(i).to_numpy() for i in range(5))
+            yield from rank(leaf, tree, used, own, seq, part.column(5).to_pylist())
 
     return run
 
@@ -358,14 +425,13 @@ def neighbours(df: DataFrame, k: int = 5, least: float = -1.0, key: str = "seq",
     """
     spark = df.sparkSession
     vectors = durable(packed(df, key, ids, weights).withColumn("class", F.xxhash64("vector")).withColumn("check", F.crc32("vector")), "vectors")
+    classes = durable(vectors.groupBy("vector").agg(F.min("seq").alias("seq"), F.max("seq").alias("other")), "classes")
+    count = classes.count()
     # rows of least hash; a first cut by hash keeps what the tasks send to about the size of the sample
     draw = F.pmod(F.xxhash64("seq"), F.lit(1 << 31))
-    share = min(1.0, 1.2 * SAMPLE / max(1, vectors.count()))
-    sample = vectors.where(draw < int(share * (1 << 31))).orderBy(draw, "seq").select("vector").limit(SAMPLE)
-    top = spark.sparkContext.broadcast(Top([bytes(r["vector"]) for r in sample.toLocalIterator()]))
-
-    classes = vectors.groupBy("vector").agg(F.min("seq").alias("seq"), F.max("seq").alias("other"))
-    classes = durable(classes, "classes")
+    share = min(1.0, 1.2 * SAMPLE / max(1, count))
+    sample = classes.where(draw < int(share * (1 << 31))).orderBy(draw, "seq").select("vector").limit(SAMPLE)
+    top = spark.sparkContext.broadcast(_fitted(classes, [bytes(r["vector"]) for r in sample.toLocalIterator()], count))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _visits(top.value)(batches)
@@ -373,7 +439,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = -1.0, key: str = "seq",
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _ranked(top.value.rare, k, least)(batches)
 
-    visits = classes.select("seq", "vector").mapInArrow(visit, "leaf bigint, tree tinyint, own boolean, seq bigint, vector binary")
+    visits = classes.select("seq", "vector").mapInArrow(visit, VISIT)
     edges = visits.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(search, "seq bigint, near bigint, cosine double")
     found = _best(edges, k)
 

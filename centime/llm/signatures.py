@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from centime.llm.batches import whole_runs
 from centime.llm.components import components
 from centime.llm.words import blocks, mix, words
 from centime.session import durable
@@ -313,31 +314,6 @@ def texts_may_match(bitmap: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.n
     return kept
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
-    """Consecutive rows, at least so many and all of their last key (the first column, in order); each row is copied once."""
-    held: list[pa.RecordBatch] = []
-    count, last = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        edges = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
-        if last is not None and key[0] != last:
-            edges.insert(0, 0)
-        begin = 0
-        for edge in edges:
-            if count + edge - begin >= least:
-                if edge > begin:
-                    held.append(batch.slice(begin, edge - begin))
-                yield pa.Table.from_batches(held)
-                held, count, begin = [], 0, edge
-        held.append(batch.slice(begin))
-        count += batch.num_rows - begin
-        last = key[-1]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _bitmaps(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8).view(np.uint64)
 
@@ -398,7 +374,7 @@ def _candidates(hot, threshold: float, plenty: float, several: int):  # noqa: AN
         yield _distinct(seq[tree.row[a]], seq[tree.row[b]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, 1):
+        for table in whole_runs(batches, 1):
             yield from walk(table)
 
     return run
@@ -408,7 +384,7 @@ def _between_groups(threshold: float):
     """Walks the trees of tokens again, now that groups are known: (unit, seq, size, bitmap, rest, group, side), in order of unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches, ROWS):
+        for table in whole_runs(batches, ROWS):
             unit, seq, size, rest, group, side = (table.column(i).to_numpy() for i in (0, 1, 2, 4, 5, 6))
             tree = Tree(unit, np.arange(len(seq)), rest.astype(np.int64), size.astype(np.int64), _bitmaps(table.column(3)), group, side)
             for a, b in tree.pairs(threshold):

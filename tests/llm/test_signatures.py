@@ -97,8 +97,8 @@ def test_runs_stay_whole():
 
     keys = [[1, 1, 2], [], [2, 2, 3], [3], [4, 5, 5]]
     batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], ["k"]) for k in keys]
-    assert [t.column(0).to_pylist() for t in signatures._whole_runs(iter(batches), 1)] == [[1, 1], [2, 2, 2], [3, 3], [4], [5, 5]]
-    assert [t.column(0).to_pylist() for t in signatures._whole_runs(iter(batches), 4)] == [[1, 1, 2, 2, 2], [3, 3, 4, 5, 5]]
+    assert [t.column(0).to_pylist() for t in signatures.whole_runs(iter(batches), 1)] == [[1, 1], [2, 2, 2], [3, 3], [4], [5, 5]]
+    assert [t.column(0).to_pylist() for t in signatures.whole_runs(iter(batches), 4)] == [[1, 1, 2, 2, 2], [3, 3, 4, 5, 5]]
 
 
 def test_only_named_passages_count(spark):
