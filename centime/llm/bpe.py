@@ -39,8 +39,8 @@ ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 #: Characters of a block; bytes of the words that a task remembers.
 BLOCK, KEEP = 1 << 20, 48 << 20
-#: Bytes of the words that are walked together, by steps; longer ones go one after the other.
-LENGTHS = (8, 16, 32, 64, 256)
+#: Bytes of words that are walked together; a longer word goes in so many places at a time.
+WINDOW = 1 << 15
 _NEVER = 1 << 60
 #: Classes of characters.
 OTHER, LETTER, NUMBER, BLANK, END = range(5)
@@ -113,19 +113,15 @@ class Automaton:
         return may
 
     def walk(self, words: list[bytes]) -> list[np.ndarray]:
-        """The labels of the one path over the bytes of each word; words are walked together by length."""
-        found: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+        """The labels of the one path over the bytes of each word."""
+        found: list[np.ndarray] = []
         sizes = np.array([len(w) for w in words], np.int64)
-        shorter = 0
-        for most in LENGTHS:
-            some = np.flatnonzero((sizes > shorter) & (sizes <= most))
-            shorter = most
-            for at in range(0, len(some), 8192):
-                part = some[at : at + 8192]
-                for i, ids in zip(part.tolist(), self._together([words[i] for i in part], sizes[part]), strict=True):
-                    found[i] = ids
-        for i in np.flatnonzero(sizes > shorter).tolist():
-            found[i] = self._alone(np.frombuffer(words[i], np.uint8).astype(np.int64))
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        begin = 0
+        while begin < len(words):
+            end = max(begin + 1, int(np.searchsorted(done, done[begin] + WINDOW, side="right")) - 1)
+            found += self._labels(words[begin:end], sizes[begin:end])
+            begin = end
         return found
 
     def _follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -134,68 +130,60 @@ class Automaton:
         near = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
         return np.where(self.step[near] == key, self.node[near], -1)
 
-    def _together(self, words: list[bytes], sizes: np.ndarray) -> Iterator[np.ndarray]:
-        width = int(sizes.max())
-        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width).astype(np.int64)
-        last, back = np.full((len(words), width + 1), -1, np.int64), np.zeros((len(words), width + 1), np.int64)
-        for start in range(width):
-            row = np.flatnonzero((sizes > start) & ((last[:, start] >= 0) | (start == 0)))
-            node, arcs = np.zeros(len(row), np.int64), []
-            for at in range(start, width):
-                node = self._follow(node, text[row, at])
-                kept = (node >= 0) & (sizes[row] > at)
-                row, node = row[kept], node[kept]
-                if not len(row):
-                    break
-                token = self.ends[node]
-                some = token >= 0
-                arcs.append((row[some], np.full(int(some.sum()), at + 1), token[some]))
-            if not arcs:
-                continue
-            row, end, token = (np.concatenate(x) for x in zip(*arcs, strict=True))
-            if start:
-                may = self.meets(last[row, start], token)
-                row, end, token = row[may], end[may], token[may]
-            last[row, end], back[row, end] = token, start
-        for i, at in enumerate(sizes.tolist()):
-            ids = []
-            while at:
-                ids.append(last[i, at])
-                at = back[i, at]
-            yield np.array(ids[::-1], np.int32)
-
-    def _alone(self, word: np.ndarray) -> np.ndarray:
-        """A long word: from each place reached, all places at once that are still in the trie."""
-        size = len(word)
-        last, back = np.full(size + 1, -1, np.int64), np.zeros(size + 1, np.int64)
-        # tokens by (begin, end): all starts walk the trie at the same time
-        begin, node, step, arcs = np.arange(size), np.zeros(size, np.int64), 0, []
+    def _arcs(self, text: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, last byte, label) of every arc from some places on; stop: where the word of a place ends."""
+        node, at, found = np.zeros(len(begin), np.int64), begin, [(np.empty(0, np.int64),) * 3]
         while len(begin):
-            inside = begin + step < size
-            begin, node = begin[inside], node[inside]
-            node = self._follow(node, word[begin + step])
-            begin, node = begin[node >= 0], node[node >= 0]
-            some = self.ends[node] >= 0
-            arcs.append((begin[some], np.full(int(some.sum()), begin.dtype.type(step + 1)), self.ends[node[some]]))
-            step += 1
-        begin, length, token = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        order = np.argsort(begin, kind="stable")
-        begin, length, token = begin[order], length[order], token[order]
-        first = np.searchsorted(begin, np.arange(size + 1)).tolist()
-        for start in range(size):
-            if start and last[start] < 0:
-                continue
-            some = slice(first[start], first[start + 1])
-            end, label = start + length[some], token[some]
-            if start:
-                may = self.meets(np.full(len(label), last[start]), label)
-                end, label = end[may], label[may]
-            last[end], back[end] = label, start
-        ids, at = [], size
-        while at:
-            ids.append(last[at])
-            at = int(back[at])
-        return np.array(ids[::-1], np.int32)
+            inside = at < stop
+            begin, stop, at, node = begin[inside], stop[inside], at[inside], node[inside]
+            node = self._follow(node, text[at])
+            inside = node >= 0
+            begin, stop, at, node = begin[inside], stop[inside], at[inside], node[inside]
+            label = self.ends[node]
+            some = label >= 0
+            found.append((begin[some], at[some], label[some]))
+            at = at + 1
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _labels(self, words: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+        """The labels of several words, or of one long one, WINDOW places at a time."""
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum(sizes)
+        stop = np.repeat(ends, sizes)
+        starts = np.zeros(len(text), bool)
+        starts[ends - sizes] = True
+        label_at, begin_at = np.full(len(text), -1, np.int64), np.zeros(len(text), np.int64)
+        held = (np.empty(0, np.int64),) * 3
+        for window in range(0, len(text), WINDOW):
+            until = min(window + WINDOW, len(text))
+            begin, last, label = (np.concatenate(x) for x in zip(held, self._arcs(text, np.arange(window, until), stop[window:until]), strict=True))
+            # an arc is on a valid path if it begins the word or may follow one that is and ends just before it
+            valid = starts[begin]
+            valid[: len(held[0])] = True
+            by_last = np.argsort(last, kind="stable")
+            order = np.flatnonzero(~valid)
+            order = order[np.argsort(begin[order], kind="stable")]
+            low, high = (np.searchsorted(last[by_last], begin[order] - 1, side=side) for side in ("left", "right"))
+            many = high - low
+            after = np.repeat(order, many)
+            before = by_last[np.arange(len(after)) + np.repeat(low - (np.cumsum(many) - many), many)]
+            may = self.meets(label[before], label[after])
+            reached = bytearray(valid.astype(np.uint8).tobytes())
+            for x, y in zip(before[may].tolist(), after[may].tolist(), strict=True):
+                if reached[x]:
+                    reached[y] = 1
+            valid = np.frombuffer(reached, np.uint8) > 0
+            label_at[last[valid]], begin_at[last[valid]] = label[valid], begin[valid]
+            over = valid & (last >= until - 1)
+            held = begin[over], last[over], label[over]
+        labels, begins, found = label_at.tolist(), begin_at.tolist(), []
+        for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            ids, at = [], end - 1
+            while at >= start:
+                ids.append(labels[at])
+                at = begins[at] - 1
+            found.append(np.array(ids[::-1], np.int32))
+        return found
 
     def encoder(self, keep: int = KEEP) -> "Encoder":
         return Encoder(self, keep)
