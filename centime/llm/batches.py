@@ -6,6 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """df parted by key, over as many tasks as needed, so that what one takes does not grow with the data; few tasks are left to AQE."""
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, key) if tasks > few else df.repartition(key)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:

@@ -154,6 +154,28 @@ def one_form(df: DataFrame, columns: list[str], suffix: str = "_form") -> DataFr
     return df
 
 
+def _cells(facts: DataFrame, fields: tuple[str, ...], key: str, within: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(cells, group): the cells whose group (table, field and form) has more than one string, with the group's least id; what a group is."""
+    formed = one_form(facts.select(key, *within, *fields), list(fields))
+    cells = formed.select(
+        F.col(key).alias("id"), *within, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.col(f + "_form").alias("form")) for f in fields))).alias("cell")
+    ).select("id", *within, "cell.field", "cell.text", "cell.form")
+    cells = durable(cells.dropna(subset=[*within, "text", "id"]).withColumn("print", F.xxhash64("text")), "cells")
+    group = [*within, "field", "form"]
+    # minima are combined before the shuffle; most groups have one string and go no further
+    several = cells.groupBy(*group).agg(F.min("print").alias("least"), F.max("print").alias("most"), F.min("id").alias("class")).where("least <> most").select(*group, "class")
+    return cells.drop("print").join(several, group), group
+
+
+def look_classes(facts: DataFrame, fields: tuple[str, ...] = ("raw", "row_label"), key: str = "id", within: tuple[str, ...] = ("source_id", "table_index")) -> DataFrame:
+    """(field, id, class): every row whose field looks like another string of its table, with the least id of all rows that look so.
+
+    One row for each row and field, however many look alike. Nulls as in same_look. Distinct.
+    """
+    cells, _ = _cells(facts, fields, key, within)
+    return cells.select("field", "id", "class").distinct()
+
+
 def same_look(facts: DataFrame, fields: tuple[str, ...] = ("raw", "row_label"), key: str = "id", within: tuple[str, ...] = ("source_id", "table_index")) -> DataFrame:
     """(field, id_a, id_b): two rows of one table whose field looks the same but is not the same string; id_a < id_b. Distinct.
 
@@ -162,15 +184,8 @@ def same_look(facts: DataFrame, fields: tuple[str, ...] = ("raw", "row_label"),
     paired within their group first, so rows with equal strings never meet: the
     work is that of the result.
     """
-    formed = one_form(facts.select(key, *within, *fields), list(fields))
-    cells = formed.select(
-        F.col(key).alias("id"), *within, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.col(f + "_form").alias("form")) for f in fields))).alias("cell")
-    ).select("id", *within, "cell.field", "cell.text", "cell.form")
-    cells = durable(cells.dropna(subset=[*within, "text", "id"]).withColumn("print", F.xxhash64("text")), "cells")
-    group = [*within, "field", "form"]
-    # groups with more than one string, and these strings; most groups have one and go no further
-    several = cells.groupBy(*group).agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least <> most").select(*group)
-    cells = durable(cells.drop("print").join(several, group, "left_semi"), "varied")
+    cells, group = _cells(facts, fields, key, within)
+    cells = durable(cells.drop("class"), "varied")
     strings = cells.select(*group, "text").distinct()
     pairs = strings.withColumnRenamed("text", "text_a").join(strings.withColumnRenamed("text", "text_b"), group).where("text_a < text_b")
     met = pairs.join(cells.withColumnsRenamed({"id": "x", "text": "text_a"}), [*group, "text_a"]).join(cells.withColumnsRenamed({"id": "y", "text": "text_b"}), [*group, "text_b"])

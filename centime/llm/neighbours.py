@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from centime.llm.batches import whole_runs
+from centime.llm.batches import spread, whole_runs
 from centime.llm.words import mix
 from centime.session import durable
 
@@ -45,6 +45,8 @@ SAMPLE, FEW = 20_000, 16
 NODES = 2_000_000
 #: Spread of a dense projection of unit vectors; distances to a median count in this unit.
 SPREAD = 0.29
+#: Visits that one task takes, about.
+VISITORS = 200_000
 #: Vectors whose queues are worked off together, rows that are ranked together.
 QUEUES, ROWS = 4096, 20_000
 
@@ -440,7 +442,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = -1.0, key: str = "seq",
         yield from _ranked(top.value.rare, k, least)(batches)
 
     visits = classes.select("seq", "vector").mapInArrow(visit, VISIT)
-    edges = visits.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(search, "seq bigint, near bigint, cosine double")
+    edges = spread(visits, "leaf", VISITS * count // VISITORS).sortWithinPartitions("leaf").mapInArrow(search, "seq bigint, near bigint, cosine double")
     found = _best(edges, k)
 
     # rows of classes with more than one row; of each class its k + 1 smallest keys are enough for anybody's list

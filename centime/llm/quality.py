@@ -169,6 +169,8 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id
 
 #: Votes of a function: the value lies within the range of prose, outside it, or so far outside that the range's half width is between.
 FAR_LOW, LOW, INSIDE, HIGH, FAR_HIGH = range(5)
+#: Shares of the votes within prose, at most.
+BOUNDS = (0.0001, 0.004, 1.0, 0.004, 0.0001)
 TYPES = ("prose", "list", "table", "junk")
 
 
@@ -221,14 +223,14 @@ class Model:
         return odds / odds.sum(axis=1, keepdims=True)
 
 
-def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 40, outside: float = 0.004, far: float = 0.0001) -> Model:
+def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 40) -> Model:
     """Expectation-maximisation over counted vote patterns; shares are smoothed by one document.
 
     By the way the thresholds are placed, a voter puts next to no prose outside
-    its range: the shares of such votes within prose stay below `outside` and
-    `far`, else a type that only one voter can tell from prose would join it.
+    its range: the shares of such votes within prose stay below BOUNDS, else a
+    type that only one voter can tell from prose would join it.
     """
-    most = np.array([far, outside, 1, outside, far])
+    most = np.array(BOUNDS)
     weight = seed_types(patterns) * counts[:, None]
     model = Model(np.full(len(TYPES), 1 / len(TYPES)), np.full((len(VOTERS), 5, len(TYPES)), 0.2))
     for _ in range(rounds):
@@ -245,6 +247,34 @@ def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 40, outside: f
     return model
 
 
+def _learnt(docs: DataFrame, common_words: DataFrame, labels: DataFrame, most_labelled: int) -> tuple[DataFrame, dict, Model | None]:
+    """(statistics of all documents, thresholds, model); no model without a document that is not blank."""
+    measured = durable(text_statistics(docs, common_words).withColumn("blank", F.col("visible") == 0), "statistics")
+    prose = labels.where("natural_text = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    limits = thresholds(prose.join(measured, "doc_id").select(*VOTERS).collect())
+    votes = measured.withColumn("pattern", F.concat(*(vote(v, limits[v]).cast("string") for v in VOTERS)))
+    counted = votes.where(~F.col("blank")).groupBy("pattern").count().collect()
+    if not counted:
+        return measured, limits, None
+    patterns = np.array([[int(c) for c in r["pattern"]] for r in counted])
+    return measured, limits, learn(patterns, np.array([r["count"] for r in counted], float))
+
+
+def voter_accuracies(docs: DataFrame, common_words: DataFrame, labels: DataFrame, most_labelled: int = LABELLED) -> DataFrame:
+    """(voter, vote, text_type, share, bounded): how often each voter gives each vote on documents of a type, as learnt from all documents.
+
+    bounded: the share is at the bound that the placing of the thresholds sets for
+    prose; all others are learnt freely. Empty without documents.
+    """
+    _, _, model = _learnt(docs, common_words, labels, most_labelled)
+    names = ("far_low", "low", "inside", "high", "far_high")
+    rows = [] if model is None else [
+        (voter, names[v], kind, float(model.votes[i, v, k]), bool(k == 0 and v != INSIDE and model.votes[i, v, 0] >= BOUNDS[v] * (1 - 1e-9)))
+        for i, voter in enumerate(VOTERS) for v in range(5) for k, kind in enumerate(TYPES)
+    ]
+    return docs.sparkSession.createDataFrame(rows, "voter string, vote string, text_type string, share double, bounded boolean")
+
+
 def text_types(docs: DataFrame, common_words: DataFrame, labels: DataFrame, most_labelled: int = LABELLED) -> DataFrame:
     """(doc_id, the statistics, p_prose, text_type) for every row of docs.
 
@@ -255,16 +285,9 @@ def text_types(docs: DataFrame, common_words: DataFrame, labels: DataFrame, most
     texts have null p_prose and text_type. Without labels or documents the result
     still has its columns. Repeated rows are kept.
     """
-    measured = durable(text_statistics(docs, common_words).withColumn("blank", F.col("visible") == 0), "statistics")
-    prose = labels.where("natural_text = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = prose.join(measured, "doc_id").select(*VOTERS).collect()
-    limits = thresholds(sample)
-    votes = measured.withColumn("pattern", F.concat(*(vote(v, limits[v]).cast("string") for v in VOTERS)))
-    counted = votes.where(~F.col("blank")).groupBy("pattern").count().collect()
-    if not counted:
+    measured, limits, model = _learnt(docs, common_words, labels, most_labelled)
+    if model is None:
         return measured.drop("blank", "visible").withColumn("p_prose", F.lit(None).cast("double")).withColumn("text_type", F.lit(None).cast("string"))
-    patterns = np.array([[int(c) for c in r["pattern"]] for r in counted])
-    model = learn(patterns, np.array([r["count"] for r in counted], float))
 
     def log_odds(k: int) -> Column:
         total = F.lit(math.log(model.prior[k]))
@@ -272,7 +295,7 @@ def text_types(docs: DataFrame, common_words: DataFrame, labels: DataFrame, most
             total = total + F.element_at(F.array(*(F.lit(math.log(model.votes[i][v][k])) for v in range(5))), vote(voter, limits[voter]) + 1)
         return total
 
-    scored = votes.select("doc_id", *STATISTICS, "blank", F.array(*(log_odds(k) for k in range(len(TYPES)))).alias("logs"))
+    scored = measured.select("doc_id", *STATISTICS, "blank", F.array(*(log_odds(k) for k in range(len(TYPES)))).alias("logs"))
     scored = scored.withColumn("top", F.array_max("logs"))
     odds = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     kind = F.element_at(F.array(*(F.lit(t) for t in TYPES)), F.array_position("logs", F.col("top")).cast("int"))

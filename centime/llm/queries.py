@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from centime.session import table
 
@@ -34,6 +35,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look(table(spark, sf_dir, "pdf_facts"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell that looks like another string of its table, with its class: one row a cell, however many look alike."""
+    from centime.llm.lookalikes import look_classes
+
+    return look_classes(table(spark, sf_dir, "pdf_facts"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centime.llm.splitting import oversized
 
@@ -47,6 +55,23 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "passages"), table(spark, sf_dir, "occurrences"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all pieces: texts and characters covered, pieces over the limit, overlaps over theirs, and gaps between consecutive pieces."""
+    from pyspark.sql import Window
+
+    from centime.llm.splitting import pieces
+
+    found = pieces(table(spark, sf_dir, "passages"), table(spark, sf_dir, "occurrences"))
+    before = F.lag("char_end").over(Window.partitionBy("item", "id", "pieces").orderBy("piece"))
+    tokens = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\p{Z}\p{C}\p{M}]"))
+    marked = found.withColumn("apart", F.coalesce(F.col("char_begin") > before, F.col("char_begin") > 0)).withColumn("tokens_in", tokens)
+    last = F.col("piece") == F.col("pieces") - 1
+    return marked.groupBy("item").agg(
+        F.count(F.when(last, 1)).alias("texts"), F.sum(F.when(last, F.col("char_end").cast("bigint"))).alias("characters"), F.count(F.when(F.col("tokens_in") > 800, 1)).alias("over"),
+        F.count(F.when(F.col("overlap") > 150, 1)).alias("shared"), F.count(F.when(F.col("apart"), 1)).alias("gaps"),
+    )
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centime.llm.bpe import encode_texts
 
@@ -79,8 +104,31 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_types(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), table(spark, sf_dir, "doc_labels"))
 
 
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: (doc_id, characters, digest)."""
+    from centime.llm.bpe import decode_texts, encode_texts
+
+    back = decode_texts(encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "ids")
+    return back.select("doc_id", F.length("text").cast("bigint").alias("characters"), F.sha2("text", 256).alias("digest"))
+
+
+def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word count, mean word length, symbol ratio, share of lines ending in punctuation and share of common words of every document."""
+    from centime.llm.quality import text_statistics
+
+    found = text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return found.select("doc_id", "words", *(F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "line_end_share", "common_share")))
+
+
+def p9_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the labelling functions were found to be worth."""
+    from centime.llm.quality import voter_accuracies
+
+    return voter_accuracies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), table(spark, sf_dir, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_spans, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p5_found, p5_classes, p6_found, p6_pieces, p6_checks, p7_ids, p7_texts, p8_found, p8_spans, p9_found, p9_statistics, p9_measures, p9_accuracies)}
 
 
 _WORDS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
@@ -98,17 +146,46 @@ _P6 = f"""SELECT DISTINCT item, id FROM (SELECT 'passage' AS item, id, text FROM
 SELECT 'chunk', id, CASE WHEN json_valid(chunk_json) THEN CASE WHEN json_type(chunk_json, '$.text') = 'VARCHAR' THEN json_extract_string(chunk_json, '$.text') END END FROM occurrences)
 WHERE text IS NOT NULL AND {_COUNT.format("text")} > 800"""
 
+_P6_CHECKS = """SELECT item, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS characters, 0::BIGINT AS over, 0::BIGINT AS shared, 0::BIGINT AS gaps FROM (SELECT 'passage' AS item, text FROM passages UNION ALL
+SELECT 'chunk', CASE WHEN json_valid(chunk_json) THEN CASE WHEN json_type(chunk_json, '$.text') = 'VARCHAR' THEN json_extract_string(chunk_json, '$.text') END END FROM occurrences) WHERE text <> '' GROUP BY 1"""
+
 _P8 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
 a AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 14], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS i FROM d)),
 b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 14], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS i FROM e))
 SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s)"""
 
 
+_P8_SPANS = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+a AS (SELECT doc_id, i, array_to_string(w[i:i + 14], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS i FROM d)),
+b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 14], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS i FROM e)),
+h AS (SELECT doc_id, item_id, i - 1 AS p FROM a JOIN b USING (s)),
+g AS (SELECT *, sum(CASE WHEN p <= before + 15 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS span FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS before FROM h))
+SELECT doc_id, item_id, CAST(min(p) AS INTEGER) AS word_begin, CAST(max(p) + 15 AS INTEGER) AS word_end FROM g GROUP BY doc_id, item_id, span"""
+
+_P7_TEXTS = "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS characters, sha256(coalesce(text, '')) AS digest FROM documents"
+
+# marks of ordinary prose are no symbols; lines are parted by line ends and those that show nothing do not count
+_P9_MEASURES = r"""WITH c AS (SELECT list(DISTINCT strip_accents(lower(word))) AS common FROM common_words WHERE word IS NOT NULL),
+d AS (SELECT doc_id, coalesce(nfc_normalize(text), '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(strip_accents(lower(t)), '[\p{L}\p{N}]+') AS words, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS inside,
+  length(regexp_replace(t, '[\s\p{Z}\p{M}\p{Cc}\p{Cf}]', '', 'g')) AS visible,
+  length(regexp_replace(t, '[\s\p{Z}\p{M}\p{Cc}\p{Cf}\p{L}\p{N}.,;:!?\x27’"«»“”()–—…%€°/&-]', '', 'g')) AS symbols,
+  list_filter(list_transform(regexp_split_to_array(t, '[\n\r\x{85}\x{2028}\x{2029}]'), lambda l: regexp_replace(l, '[\s\p{Z}\p{M}\p{Cc}\p{Cf}]', '', 'g')), lambda l: l <> '') AS lines FROM d)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS words, CASE WHEN len(words) > 0 THEN round(inside / len(words), 6) ELSE 0 END AS mean_word_length,
+  CASE WHEN visible > 0 THEN round(symbols / visible, 6) ELSE 0 END AS symbol_ratio,
+  CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda l: contains('.!?;:…»”")', right(l, 1)))) / len(lines), 6) ELSE 0 END AS line_end_share,
+  CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda x: list_contains(common, x))) / len(words), 6) ELSE 0 END AS common_share FROM w, c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where SQL can say it; the others are tested against brute force and public libraries in tests/llm."""
     return {
         "p2_found": f"{_P2} SELECT DISTINCT node AS seq_a, other AS seq_b FROM r WHERE node < other",
         "p2_groups": f'{_P2} SELECT node AS seq, min(other) AS "group" FROM r GROUP BY 1',
         "p6_found": _P6,
+        "p6_checks": _P6_CHECKS,
         "p8_found": _P8,
+        "p8_spans": _P8_SPANS,
+        "p7_texts": _P7_TEXTS,
+        "p9_measures": _P9_MEASURES,
     }

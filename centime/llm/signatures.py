@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centime.llm.batches import whole_runs
+from centime.llm.batches import spread, whole_runs
 from centime.llm.components import components
 from centime.llm.words import blocks, mix, words
 from centime.session import durable
@@ -454,7 +454,7 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     # no token has more entries than there are texts
     hot = share(_hot(some, frequent, threshold, split / step, split / step) if count > split else (np.empty(0, np.int64), np.empty(0, np.int64)))
     postings = heads.mapInArrow(_postings(frequent, hot, parts, threshold), POSTINGS)
-    found = durable(postings.repartition("part").sortWithinPartitions("part").mapInArrow(_candidates(hot, threshold, plenty, several), FOUND), "candidates")
+    found = durable(spread(postings, "part", parts).sortWithinPartitions("part").mapInArrow(_candidates(hot, threshold, plenty, several), FOUND), "candidates")
     pairs = durable(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
 
     # first every text with the nearest smaller candidate: a chain, so no text has very many; pairs within a group then need no more work

@@ -91,3 +91,11 @@ def test_keys_of_searched_documents_are_dropped():
     assert shard.kept(["a", "b", "c", "d"]) == ["c"] and shard.docs[0].tolist() == [0] * 6
     assert [x.tolist() for x in next(iter(shard.flush()))] == [[0], [0], [0], [5]]
     assert shard.kept(["c"]) == []
+
+
+def test_very_long_texts(spark):
+    filler = "autre chose ici " * 300_000
+    docs = spark.createDataFrame([(1, filler + ITEM), (2, "x" * 5_000_000), (3, "x" * 4_500_000 + " " + ITEM)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    count = len(words([ITEM]).hash)
+    assert sorted(map(tuple, leaked_spans(docs, items).collect())) == [(1, 10, 900_000, 900_000 + count), (3, 10, 1, 1 + count)]

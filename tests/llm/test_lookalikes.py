@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from centime.llm.lookalikes import Classes, Form, Rewriter, one_form, same_look
+from centime.llm.lookalikes import Classes, Form, Rewriter, look_classes, one_form, same_look
 
 
 def rewriter(*texts):
@@ -50,4 +50,7 @@ def test_pairs(spark):
     facts = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, same_look(facts).collect())) == [("raw", 1, 2), ("raw", 2, 3), ("row_label", 1, 2), ("row_label", 6, 7)]
     assert same_look(facts.where("false")).collect() == []
+    classes = [(r["field"], r["id"], r["class"]) for r in look_classes(facts).collect()]
+    assert sorted(classes) == [("raw", 1, 1), ("raw", 2, 1), ("raw", 3, 1), ("row_label", 1, 1), ("row_label", 2, 1), ("row_label", 6, 6), ("row_label", 7, 6)]
+    assert look_classes(facts.where("false")).collect() == []
     assert [r["raw_form"] for r in one_form(facts.where("id = 6"), ["raw"]).collect()] == [None]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from centime.llm import neighbours as neighbours_module
 from centime.llm.neighbours import neighbours, similar_pairs
 
 SCHEMA = "seq bigint, sparse_ids array<int>, sparse_weights array<float>, cosine string"
@@ -60,3 +61,66 @@ def test_many_near_copies_split_at_medians(spark):
     rows = [(i, list(range(20)), [float(x) for x in 1 + draw.random(20) / 50], None) for i in range(400)]
     got = similar_pairs(spark.createDataFrame(rows, SCHEMA)).count()
     assert got >= 400  # every vector has found partners
+
+
+def packed_rows(rows):
+    ids = [np.argsort(r[1]) for r in rows]
+    return neighbours_module.Vectors([np.array(r[1], np.int32)[o].tobytes() + np.array(r[2], np.float32)[o].tobytes() for r, o in zip(rows, ids, strict=True)])
+
+
+def test_visitors_of_a_leaf_that_splits_meet_its_vectors(monkeypatch):
+    # the top does not split below the roots, so all further splitting is the task's; visitors must go where the indexed ones went
+    monkeypatch.setattr(neighbours_module, "LEAF", 6)
+    draw = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        ids, weights = draw.choice(60, 12, replace=False), draw.random(12) + 0.1
+        rows += [(0, ids, weights * draw.uniform(0.8, 1.25, 12)) for _ in range(4)]
+    vectors = packed_rows(rows)
+    top = neighbours_module.Top(neighbours_module.Rarity(vectors.dim, len(vectors)))
+    visits = [np.concatenate(x) for x in zip(*neighbours_module._searched(top, vectors), strict=True)]
+    row, leaf, tree, used, own = visits
+    assert own.sum() == 1200 * neighbours_module.TREES and (~own).sum() == 1200 * (neighbours_module.VISITS - neighbours_module.TREES)
+    met = total = relatives = 0
+    for key in np.unique(leaf):
+        here = leaf == key
+        part, mine, t = row[here], own[here], int(tree[here][0])
+        path = neighbours_module._paths(vectors.branches(t, top.rare)[0][part], used[here])
+        some = packed_rows([rows[i] for i in part])
+        for group in neighbours_module._groups(some, np.arange(len(part)), mine, path):
+            visitors, indexed = part[group][~mine[group]], part[group][mine[group]]
+            if mine.sum() > 6:
+                total += len(visitors)
+                met += len(visitors) * bool(len(indexed))
+                relatives += int(np.isin(visitors // 4, indexed // 4).sum())
+    assert total > 500 and met > 0.25 * total and relatives > 0.02 * total
+
+
+def test_queue_goes_by_shortfall():
+    draw = np.random.default_rng(2)
+    rows = [(0, draw.choice(500, 10, replace=False), draw.random(10) + 0.1) for _ in range(50)]
+    vectors = packed_rows(rows)
+    top = neighbours_module.Top(neighbours_module.Rarity(vectors.dim, len(vectors)))
+    both = [vectors.branches(t, top.rare) for t in range(neighbours_module.TREES)]
+    for visit, (row, leaf, tree, _, own) in enumerate(neighbours_module._searched(top, vectors)):
+        if visit == neighbours_module.TREES:
+            # the first visit beyond the own leaves: the tree whose second direction falls short by least
+            gaps = np.stack([f[:, 1] for _, f in both])
+            assert (tree == np.argmin(gaps, axis=0)[row]).all() and not own.any()
+            second = np.stack([d[:, 1] for d, _ in both])[tree, row]
+            assert (leaf == neighbours_module._join(tree, second)).all()
+
+
+def test_nodes_are_counted_exactly(spark):
+    rows = family(4, 60, 40)
+    df = spark.createDataFrame(rows, SCHEMA)
+    classes = neighbours_module.packed(df, "seq", "sparse_ids", "sparse_weights").repartition(5)
+    payloads = [bytes(r["vector"]) for r in classes.collect()]
+    top = neighbours_module._fitted(classes, payloads, 10**8)
+    assert len(top.splits) == 1
+    top = neighbours_module._fitted(classes, payloads, len(payloads))
+    vectors = neighbours_module.Vectors(payloads)
+    keys = np.concatenate([neighbours_module._join(np.full(len(vectors), t), vectors.branches(t, top.rare)[0][:, 0]) for t in range(neighbours_module.TREES)])
+    values, counts = np.unique(keys, return_counts=True)
+    expected = values[counts > neighbours_module.LEAF]
+    assert (top.splits[1].tolist() if len(top.splits) > 1 else []) == expected.tolist()

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from centime.llm.quality import STATISTICS, VOTERS, learn, no_prose, statistics, text_statistics, text_types, thresholds
+from centime.llm.quality import STATISTICS, VOTERS, learn, no_prose, statistics, text_statistics, text_types, thresholds, voter_accuracies
 from centime.llm.words import hash_words
 
 COMMON = ["le", "la", "de", "des", "et", "pour", "dans", "est"]
@@ -49,6 +49,15 @@ def test_types_are_learnt(spark):
     assert no_prose(docs.where("false"), common, labels).collect() == []
     assert text_statistics(docs, common.where("false")).where("common_share > 0").count() == 0
     text_types(docs, common, labels.where("false")).collect()
+    told = voter_accuracies(docs, common, labels)
+    assert told.count() == len(VOTERS) * 20 and voter_accuracies(docs.where("false"), common, labels).count() == 0
+    sums = {(r["voter"], r["text_type"]): r["s"] for r in told.groupBy("voter", "text_type").agg({"share": "sum"}).withColumnRenamed("sum(share)", "s").collect()}
+    assert all(abs(x - 1) < 1e-6 for x in sums.values())
+
+
+def test_very_long_texts_have_statistics():
+    found = statistics(["mot long. " * 500_001, "x" * 5_000_000], np.zeros(0, np.uint64))
+    assert found["words"].tolist() == [1_000_002, 1] and found["mean_word_length"].tolist() == [3.5, 5_000_000]
 
 
 def test_learning_keeps_clear_patterns_apart():

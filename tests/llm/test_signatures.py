@@ -144,3 +144,12 @@ def test_similar_sets_share_a_first_token_with_enough_left(threshold):
                 similar += 1
                 assert any(min(held[i][t], held[j][t]) >= common for t in held[i].keys() & held[j].keys())
     assert similar > 5
+
+
+def test_very_long_texts(spark):
+    draw = random.Random(9)
+    base = [f"m{draw.randrange(10**6)}" for _ in range(650_000)]
+    changed = [*base[:1000], "autre", *base[1001:]]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(changed)), (3, "x" * 5_000_000)], "seq bigint, text string")
+    assert len(" ".join(base)) > 1 << 22
+    assert {r["seq"]: r["group"] for r in near_duplicates(df).collect()} == {1: 1, 2: 1}
