@@ -12,15 +12,25 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXovpcj"
 ARMENIAN = "ՍՏՕհոսցօ"
 ARMENIAN_AS = "USOhnugo"
-LATIN = "ɑɡꓲꓳ"
-LATIN_AS = "agIO"
+LATIN = "ɑɡ"
+LATIN_AS = "ag"
+COPTIC = "ⲀⲂⲈⲎⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ"
+COPTIC_AS = "ABEHKMNOPCTYXopc"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏚᏙᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTAJEWMHGZRSVLCPKB"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
 
 HOMOGLYPHS = dict(
-    zip(CYRILLIC + GREEK + ARMENIAN + LATIN, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + LATIN_AS, strict=True)
+    zip(
+        CYRILLIC + GREEK + ARMENIAN + LATIN + COPTIC + CHEROKEE + LISU,
+        CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + LATIN_AS + COPTIC_AS + CHEROKEE_AS + LISU_AS,
+        strict=True,
+    )
 )
 
 # Decomposition tags of Unicode that leave the printed shape as it is.
-SAME_SHAPE = ("<wide>", "<narrow>", "<noBreak>")
+SAME_SHAPE = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 
 
 def invisible(ch: str) -> bool:

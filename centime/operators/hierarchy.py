@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from centime.operators.paths import excluded
+from centime.operators.paths import ancestors, excluded
 
 
 def attach(parents: DataFrame, groups: DataFrame, key: list[str], value: str, parts: str) -> DataFrame:
@@ -20,16 +20,17 @@ def attach(parents: DataFrame, groups: DataFrame, key: list[str], value: str, pa
     return met.withColumn(parts, F.when(same, F.col("_parts"))).drop("_n", "_reviewed", "_source", "_parts")
 
 
-def resolve(parents: DataFrame, children: DataFrame, exclusions: list[str], value: str = "cents") -> DataFrame:
-    """Parents less their excluded children.
+def resolve(parents: DataFrame, children: DataFrame, exclusions: list[str] | DataFrame, value: str = "cents") -> DataFrame:
+    """Parents less their excluded children. exclusions: a few paths, or a table (path) of any number.
 
     parents: path, value; children: parent, path, value. An excluded parent, or
     one with all children excluded, goes whole, its residual too (fully_excluded).
     Some children excluded: parent minus these, provided each is known. Otherwise
     unchanged. removed has what was taken off, as the proof of the figure.
     """
-    gone = excluded(F.col("path"), exclusions)
-    taken = children.withColumn("_gone", gone).groupBy(F.col("parent").alias("path")).agg(
+    parents, children = (mark_excluded(df, exclusions) for df in (parents, children))
+    gone = F.col("_gone")
+    taken = children.groupBy(F.col("parent").alias("path")).agg(
         F.count(F.lit(1)).alias("_all"),
         F.count(F.when(F.col("_gone"), 1)).alias("_excluded"),
         F.sum(F.when(F.col("_gone"), F.col(value))).alias("_sum"),
@@ -47,6 +48,14 @@ def resolve(parents: DataFrame, children: DataFrame, exclusions: list[str], valu
     )
 
 
+def mark_excluded(rows: DataFrame, exclusions: list[str] | DataFrame, path: str = "path") -> DataFrame:
+    """rows with _gone: whether an exclusion holds the path. A table of exclusions meets the rows' ancestors by an equi-join."""
+    if isinstance(exclusions, list):
+        return rows.withColumn("_gone", excluded(F.col(path), exclusions))
+    hit = rows.select(path).distinct().withColumn("_up", F.explode(ancestors(F.col(path)))).join(exclusions.select(F.col("path").alias("_up")).distinct(), "_up", "left_semi").select(path).distinct()
+    return rows.join(hit.withColumn("_hit", F.lit(True)), path, "left").withColumn("_gone", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def walk(groups: DataFrame, keys: list[str], parts: str = "actions", inner: str = "subactions") -> DataFrame:
     """Nested parts as rows before their own parts: depth, place at each level, code, label, cents."""
     first = groups.select(*keys, F.posexplode(parts).alias("no", "part"))

@@ -63,3 +63,35 @@ def content_digest(df: DataFrame) -> DataFrame:
     """One row: number of rows and an order-free digest of them; equal tables have equal digests."""
     row = F.xxhash64(*df.columns)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("digest"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("total"))
+
+
+def ordered_digest(df: DataFrame, key: str, columns: list[str], lead: int = 2) -> DataFrame:
+    """(digest, n): one SHA-256 over all rows in the order of a text key, equal keys in the order of their own digests.
+
+    Keys that begin with the same `lead` characters are one part; the digest is
+    that of the parts' digests in order, so no list holds more than a part's rows
+    (64 characters each). Null columns count as '~'; rows without a key are left out.
+    """
+    text = F.concat_ws("|", F.col(key), *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))
+    rows = df.where(F.col(key).isNotNull()).select(F.substring(key, 1, lead).alias("_part"), F.col(key).alias("_key"), F.sha2(text, 256).alias("_print"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_key", "_print"))), lambda x: x["_print"])
+    parts = rows.groupBy("_part").agg(F.sha2(F.array_join(listed, ""), 256).alias("_digest"), F.count(F.lit(1)).alias("_n"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("_part", "_digest"))), lambda x: F.concat(x["_part"], x["_digest"]))
+    return parts.agg(F.sha2(F.array_join(whole, ""), 256).alias("digest"), F.sum("_n").alias("n"))
+
+
+def notices_of(facts: DataFrame, notices: DataFrame, key: dict[str, str], metric: str | None = None, amount: str | None = None) -> DataFrame:
+    """facts with record_id of every notice on the same key and source.
+
+    notices: record_id, notice_key (array of texts, as many as the key has parts or
+    more), source_sha, values_cents (map). key: column of facts -> type of its part.
+    With metric and amount, the notice's value of the metric must be the fact's
+    amount: a fact that has changed since loses its notice. Null keys meet nothing.
+    """
+    told = notices.where(F.size("notice_key") == 6).select(
+        "record_id", "values_cents", F.col("source_sha"), *(F.element_at("notice_key", i + 1).try_cast(kind).alias(c) for i, (c, kind) in enumerate(key.items()))
+    )
+    met = facts.join(told, [*key, "source_sha"])
+    if metric and amount:
+        met = met.where(F.try_element_at("values_cents", F.col(metric)) == F.col(amount))
+    return met.drop("values_cents")

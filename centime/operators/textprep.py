@@ -18,9 +18,23 @@ def literal_lines(cells: Column) -> Column:
     return F.array_join(F.filter(shown, lambda x: x.isNotNull()), " ; ")
 
 
-def row_blocks(rows: DataFrame, section: list[str], order: list[Column], line: str, size: int = 32) -> DataFrame:
-    """Consecutive rows of a section joined into blocks of `size` lines."""
-    numbered = rows.withColumn("_no", F.row_number().over(Window.partitionBy(*section).orderBy(*order)) - 1).withColumn("block", F.floor(F.col("_no") / size).cast("int"))
+def row_blocks(rows: DataFrame, section: list[str], order: list[Column], line: str, size: int = 32, stretch: Column | None = None) -> DataFrame:
+    """Consecutive rows of a section joined into blocks of `size` lines.
+
+    stretch parts a section into stretches that follow each other in its order (a
+    null one last): rows are then numbered within their stretch, from the counts of
+    the stretches before, so that a section of any length is no task of its own.
+    """
+    parts = [*section, "_stretch"]
+    marked = rows.withColumn("_stretch", F.lit(0) if stretch is None else stretch)
+    counts = marked.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*section).orderBy(F.asc_nulls_last("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows").withColumnsRenamed({c: f"_s{c}" for c in parts})
+    same = F.lit(True)
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{c}"))
+    numbered = marked.join(counts, same).withColumn("_no", F.col("_before") + F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1)
+    numbered = numbered.withColumn("block", F.floor(F.col("_no") / size).cast("int"))
     joined = F.transform(F.sort_array(F.collect_list(F.struct("_no", line))), lambda x: x[line])
     return numbered.groupBy(*section, "block").agg(F.count(F.lit(1)).alias("lines"), F.array_join(joined, "\n").alias("text"))
 

@@ -182,11 +182,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(i).to_pylist() for i in range(1, 5)]
         for row, (raw, label, code, context) in enumerate(zip(*columns, strict=True)):
             amount = parse_amount(raw)
-            if amount is None or abs(amount[0]) >= most:
+            if amount is None:
                 continue
             unit = amount[1] or label_unit(label) or code_unit(code) or label_unit(context)
             rows.append(row)
-            values.append(amount[0].quantize(Decimal("1e-11")))
+            values.append(amount[0].quantize(Decimal("1e-11")) if abs(amount[0]) < most else None)
             units.append(unit)
         at = pa.array(rows, pa.int64())
         carried = {batch.schema.names[i]: batch.column(i).take(at) for i in (0, *range(5, batch.num_columns))}
@@ -210,8 +210,9 @@ def to_cents(
     """(id, carried columns, number, unit, cents) of every row whose raw states an amount.
 
     The unit beside the number counts first, then one in label, then code, then
-    one in context; with none at all unit is null and cents is null. cents is
-    rounded half up. Rows that state no amount (null, blank, marks such as n.d.,
+    one in context; with none at all unit is null and cents is null. Numbers of
+    1e17 and more, which are in no cents of a long, have a row with null number and
+    cents. cents is rounded half up. Rows that state no amount (null, blank, marks such as n.d.,
     percentages, prose) have no row. Repeated rows each give one. Other columns
     are ignored; an empty table gives no rows. No shuffle.
     """

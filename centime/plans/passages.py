@@ -25,8 +25,8 @@ def query(sql: str | None = None):
 
 @query("SELECT seq, id FROM passages p WHERE EXISTS (SELECT 1 FROM occurrences o JOIN sources s ON o.asset_sha = s.sha256 WHERE o.passage_id = p.id AND s.status = 'downloaded')")
 def semi_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = table(spark, sf_dir, "sources").where("status = 'downloaded'").select(F.col("sha256").alias("asset_sha"))  # 400 rows, fixed
-    cited = table(spark, sf_dir, "occurrences").join(F.broadcast(sources), "asset_sha", "left_semi").select(F.col("passage_id").alias("id"))
+    sources = table(spark, sf_dir, "sources").where("status = 'downloaded'").select(F.col("sha256").alias("asset_sha"))
+    cited = table(spark, sf_dir, "occurrences").join(sources, "asset_sha", "left_semi").select(F.col("passage_id").alias("id"))
     return table(spark, sf_dir, "passages").select("seq", "id").join(cited, "id", "left_semi").select("seq", "id")
 
 
@@ -44,7 +44,7 @@ SELECT passage_id, source_id, locator, TRY_CAST(nullif(regexp_extract(locator, '
 )
 def ranked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "sources").select("source_id", "title", "status", F.col("sha256").alias("asset_sha"))
-    cited = table(spark, sf_dir, "occurrences").select("passage_id", "asset_sha", "locator").where("passage_id IS NOT NULL").distinct().join(F.broadcast(sources), "asset_sha")
+    cited = table(spark, sf_dir, "occurrences").select("passage_id", "asset_sha", "locator").where("passage_id IS NOT NULL").distinct().join(sources, "asset_sha")
     order = [F.when(F.col("status") == "downloaded", 0).otherwise(1), F.asc_nulls_last("title"), F.asc_nulls_last("locator"), F.asc("source_id")]
     return search.limit_per_group(cited, ["passage_id"], order, 8).select("passage_id", "source_id", "locator", search.page_of(F.col("locator")).alias("page"), "place")
 
@@ -156,6 +156,17 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.content_digest(table(spark, sf_dir, "pdf_facts"))
 
 
+@query(
+    """WITH r AS (SELECT id, coalesce(passage_id, '~') || '|' || coalesce(asset_sha, '~') || '|' || coalesce(record_ref, '~') || '|' || coalesce(locator, '~') || '|' || coalesce(chunk_json, '~') AS t FROM occurrences),
+b AS (SELECT substr(id, 1, 2) AS b, sha256(string_agg(sha256(id || '|' || t), '' ORDER BY id, sha256(id || '|' || t))) AS d, count(*) AS n FROM r GROUP BY 1)
+SELECT sha256(string_agg(b || d, '' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b"""
+)
+def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all occurrences in the order of their ids."""
+    occurrences = table(spark, sf_dir, "occurrences")
+    return reconcile.ordered_digest(occurrences, "id", ["passage_id", "asset_sha", "record_ref", "locator", "chunk_json"])
+
+
 @query(
     """WITH r AS (SELECT source_id, table_index, id, coalesce(row_label, '') || ' : ' || coalesce(raw, '') AS line, row_number() OVER (PARTITION BY source_id, table_index ORDER BY row_index, column_index, id) - 1 AS n FROM pdf_facts)
 SELECT source_id, table_index, CAST(n // 32 AS INTEGER) AS block, count(*) AS lines, string_agg(line, chr(10) ORDER BY n) AS text FROM r GROUP BY ALL"""
@@ -164,7 +175,7 @@ def passage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "pdf_facts")
     line = F.concat(F.coalesce("row_label", F.lit("")), F.lit(" : "), F.coalesce("raw", F.lit("")))
     rows = facts.select("source_id", "table_index", "row_index", "column_index", "id", line.alias("line"))
-    return textprep.row_blocks(rows, ["source_id", "table_index"], [F.asc_nulls_last("row_index"), F.asc_nulls_last("column_index"), F.asc("id")], "line")
+    return textprep.row_blocks(rows, ["source_id", "table_index"], [F.asc_nulls_last("row_index"), F.asc_nulls_last("column_index"), F.asc("id")], "line", stretch=F.floor(F.col("row_index") / 512))
 
 
 SEGMENTS = "array<struct<block:int,char_start:int,char_end:int,text:string>>"
@@ -219,17 +230,36 @@ def action_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT record_id, notice_key, source_id, source_sha, table_index, stage, values_cents FROM delivery_check),
-f AS (SELECT id, source_id, source_sha, table_index, stage, metric, amount_cents FROM pdf_facts)
-SELECT f.id, n.record_id, f.metric, coalesce(n.values_cents[f.metric] = f.amount_cents, false) AS applies FROM f JOIN n ON f.source_id = n.source_id AND f.table_index = n.table_index"""
+    """WITH n AS (SELECT record_id, notice_key AS k, source_sha, values_cents AS v FROM delivery_check WHERE len(notice_key) = 6 UNION ALL SELECT record_id, notice_key, source_sha, values_cents FROM source_reconciliation WHERE len(notice_key) = 6)
+SELECT f.id, n.record_id FROM pdf_facts f JOIN n ON n.k[1] = f.source_id AND TRY_CAST(n.k[2] AS INTEGER) = f.table_index AND TRY_CAST(n.k[3] AS INTEGER) = f.exercise AND n.k[4] = f.perimeter AND n.k[5] = f.entity
+  AND TRY_CAST(n.k[6] AS INTEGER) = coalesce(f.balance_row_index, f.row_index) AND n.source_sha = f.source_sha AND n.v[f.metric] = f.amount_cents"""
 )
 def notice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the notices of their table, and whether each still applies: a changed amount loses its notice."""
-    notices = table(spark, sf_dir, "delivery_check").select("record_id", "source_id", "source_sha", "table_index", "stage", "values_cents")
-    facts = table(spark, sf_dir, "pdf_facts").select("id", "source_id", "source_sha", "table_index", "stage", "metric", "amount_cents")
-    met = facts.join(notices.select("record_id", "source_id", "table_index", "values_cents"), ["source_id", "table_index"])
-    applies = F.try_element_at("values_cents", F.col("metric")) == F.col("amount_cents")
-    return met.select("id", "record_id", "metric", F.coalesce(applies, F.lit(False)).alias("applies"))
+    """Facts with the notices of their row: all six parts of the key and the source's hash agree, and the amount is still the one the notice is about."""
+    return reconcile.notices_of(_facts_with_row(spark, sf_dir), _notices(spark, sf_dir), NOTICE_KEY, "metric", "amount_cents").select("id", "record_id")
+
+
+NOTICE_KEY = {"source_id": "string", "table_index": "int", "exercise": "int", "perimeter": "string", "entity": "string", "row": "int"}
+
+
+def _facts_with_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "pdf_facts")
+    return facts.select("id", "source_id", "source_sha", "table_index", "exercise", "perimeter", "entity", "metric", "amount_cents", F.coalesce("balance_row_index", "row_index").alias("row"))
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, n).select("record_id", "notice_key", "source_sha", "values_cents") for n in ("delivery_check", "source_reconciliation")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    """WITH n AS (SELECT record_id, notice_key AS k, source_sha FROM delivery_check WHERE len(notice_key) = 6 UNION ALL SELECT record_id, notice_key, source_sha FROM source_reconciliation WHERE len(notice_key) = 6)
+SELECT n.record_id, count(*) AS facts FROM pdf_facts f JOIN n ON n.k[1] = f.source_id AND TRY_CAST(n.k[2] AS INTEGER) = f.table_index AND TRY_CAST(n.k[3] AS INTEGER) = f.exercise AND n.k[4] = f.perimeter AND n.source_sha = f.source_sha GROUP BY 1"""
+)
+def notice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many facts of a notice's table, year and perimeter are there at all."""
+    key = {k: v for k, v in NOTICE_KEY.items() if k not in ("entity", "row")}
+    return reconcile.notices_of(_facts_with_row(spark, sf_dir), _notices(spark, sf_dir), key).groupBy("record_id").agg(F.count(F.lit(1)).alias("facts"))
 
 
 @query(
@@ -237,7 +267,7 @@ def notice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verified_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "sources").select("source_id", "sha256")
-    met = table(spark, sf_dir, "pdf_facts").join(F.broadcast(known), "source_id")
+    met = table(spark, sf_dir, "pdf_facts").join(known, "source_id")
     return met.groupBy("source_id").agg(F.countDistinct("source_sha").alias("hashes"), F.count(F.lit(1)).alias("facts"), F.bool_and(F.col("source_sha") == F.col("sha256")).alias("verified"))
 
 

@@ -194,8 +194,7 @@ def resolve_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     children = parts.groupBy(F.col("p_brand").alias("parent"), paths.node_path("p_brand", "p_type").alias("path")).agg(F.sum(cents("p_retailprice")).alias("cents"))
     parents = children.groupBy(F.col("parent").alias("path")).agg((F.sum("cents") + 3).alias("cents"))
-    # exclusions are parameters: read from the distinct positions, of which there are few
-    listed = sorted({r["path"] for r in children.where("parent LIKE '%1' OR path LIKE '%/STANDARD%'").select("path").collect()})
+    listed = children.where("parent LIKE '%1' OR path LIKE '%/STANDARD%'").select("path")
     return resolve(parents, children, listed)
 
 

@@ -37,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for durable intermediates: spark.checkpoint.dir, else (tests, one machine) a temporary one."""
+    """The shared folder for durable intermediates: spark.checkpoint.dir, else a temporary one, on a local master only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not (spark.conf.get("spark.master", None) or spark.sparkContext.master).split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _scratch:
         _scratch.append(tempfile.mkdtemp(prefix="centime-"))
         import atexit

@@ -118,6 +118,14 @@ def _local(tag: str) -> str:
     return _NS.sub("", tag)
 
 
+# Number formats that workbooks use by number alone.
+BUILTIN = {
+    "1": "0", "2": "0.00", "3": "#,##0", "4": "#,##0.00", "9": "0%", "10": "0.00%", "11": "0.00E+00", "12": "# ?/?", "13": "# ??/??", "14": "mm-dd-yy", "15": "d-mmm-yy",
+    "16": "d-mmm", "17": "mmm-yy", "18": "h:mm AM/PM", "19": "h:mm:ss AM/PM", "20": "h:mm", "21": "h:mm:ss", "22": "m/d/yy h:mm", "37": "#,##0_);(#,##0)", "38": "#,##0_);[Red](#,##0)",
+    "39": "#,##0.00_);(#,##0.00)", "40": "#,##0.00_);[Red](#,##0.00)", "45": "mm:ss", "46": "[h]:mm:ss", "47": "mmss.0", "48": "##0.0E+0", "49": "@",
+}
+
+
 def xlsx_cells(content: bytes) -> Iterator[tuple[str, str, str | None, str | None, str | None]]:
     """(sheet, cell, raw, format, formula) of all cells with content, from the parts of the workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -135,7 +143,7 @@ def xlsx_cells(content: bytes) -> Iterator[tuple[str, str, str | None, str | Non
             codes = {n.get("numFmtId"): n.get("formatCode") for n in styles.iter() if _local(n.tag) == "numFmt"}
             for xfs in styles:
                 if _local(xfs.tag) == "cellXfs":
-                    formats = [codes.get(x.get("numFmtId"), "General") for x in xfs]
+                    formats = [codes.get(x.get("numFmtId")) or BUILTIN.get(x.get("numFmtId") or "0", "General") for x in xfs]
         targets = {}
         if "xl/_rels/workbook.xml.rels" in names:
             targets = {r.get("Id"): r.get("Target", "").lstrip("/") for r in tree("xl/_rels/workbook.xml.rels")}

@@ -20,16 +20,19 @@ def _files(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    """The published version of a table; None before the first."""
+    """The published version of a table, that of the latest complete pointer; None before the first."""
     fs, path = _files(spark, root)
-    pointer = path(f"{root}/CURRENT")
-    if not fs.exists(pointer):
+    if not fs.exists(path(root)):
         return None
-    return spark.read.text(f"{root}/CURRENT").first()["value"]
+    pointers = sorted(s.getPath().getName() for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("CURRENT-"))
+    return spark.read.text(f"{root}/{pointers[-1]}").first()["value"] if pointers else None
 
 
 def publish(df: DataFrame, root: str, by: list[str] | None = None, keep: DataFrame | None = None) -> str:
-    """Write a new version aside, then move the pointer: readers see the old table or the new one, never a part.
+    """Write a new version aside, then a new pointer: readers see the old table or the new one, never a part or none.
+
+    Pointers are numbered; one appears by a rename to a name that is not there yet,
+    which fails if another writer was first (then nothing is published).
 
     keep: rows that the new version must still have; if one is missing (as a
     multiset), nothing is published.
@@ -41,12 +44,14 @@ def publish(df: DataFrame, root: str, by: list[str] | None = None, keep: DataFra
     if keep is not None and keep.exceptAll(spark.read.parquet(version).select(*keep.columns)).limit(1).count():
         raise ValueError("the new version lacks rows that must be kept")
     fs, path = _files(spark, root)
-    aside = path(f"{root}/CURRENT-{uuid.uuid4().hex}")
+    before = [s.getPath().getName() for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("CURRENT-")]
+    number = max((int(name.split("-")[1]) for name in before), default=0) + 1
+    aside, pointer = path(f"{root}/_{uuid.uuid4().hex}"), path(f"{root}/CURRENT-{number:012d}")
     out = fs.create(aside, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(path(f"{root}/CURRENT"), False)
-    fs.rename(aside, path(f"{root}/CURRENT"))
+    if fs.exists(pointer) or not fs.rename(aside, pointer):
+        raise RuntimeError("another version was published meanwhile")
     return version
 
 
