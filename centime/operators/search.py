@@ -99,3 +99,11 @@ def excerpt(text: Column, length: int = 1900) -> Column:
 def page_of(locator: Column) -> Column:
     """The page a locator names; null without one."""
     return F.regexp_extract(locator, r"page:([0-9]+)", 1).try_cast("int")
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int, place: str = "place") -> DataFrame:
+    """The first n rows in an order, with their places from 1 and whether rows are left out. The limit comes before the numbering."""
+    best = rows.orderBy(*order).limit(n + 1)
+    placed = best.withColumn(place, F.row_number().over(Window.orderBy(*order)))
+    more = F.max(place).over(Window.partitionBy()) > n
+    return placed.withColumn("truncated", more).where(F.col(place) <= n)
