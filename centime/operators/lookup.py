@@ -75,3 +75,17 @@ def contiguous(parts: DataFrame, by: list[str], begin: str, end: str) -> DataFra
     """Groups whose ranges, in order, leave a gap or overlap: by, breaks."""
     before = F.lag(end).over(Window.partitionBy(*by).orderBy(begin, end))
     return parts.withColumn("_b", F.when(before.isNotNull() & (before != F.col(begin)), 1).otherwise(0)).groupBy(*by).agg(F.sum("_b").alias("breaks")).where("breaks > 0")
+
+
+def forward_fill(rows: DataFrame, section: list[str], order: list[Column], filled: dict[str, str], changes: str | None = None) -> DataFrame:
+    """rows with columns (new names) that hold the last value so far in their section; a change of column `changes` begins anew."""
+    parts = list(section)
+    if changes:
+        window = Window.partitionBy(*section).orderBy(*order)
+        new = F.when(F.col(changes).eqNullSafe(F.lag(changes).over(window)) & (F.row_number().over(window) > 1), 0).otherwise(1)
+        rows = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(window)).drop("_new")
+        parts.append("_run")
+    window = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for column, name in filled.items():
+        rows = rows.withColumn(name, F.last(column, ignorenulls=True).over(window))
+    return rows.drop("_run")

@@ -107,3 +107,86 @@ def first_rows(rows: DataFrame, order: list[Column], n: int, place: str = "place
     placed = best.withColumn(place, F.row_number().over(Window.orderBy(*order)))
     more = F.max(place).over(Window.partitionBy()) > n
     return placed.withColumn("truncated", more).where(F.col(place) <= n)
+
+
+def optional(df: DataFrame, **wanted: object) -> DataFrame:
+    """df filtered by equality on the columns whose wanted value is set; null and the empty text set none."""
+    for column, value in wanted.items():
+        if value is not None and value != "":
+            df = df.where(F.col(column) == F.lit(value))
+    return df
+
+
+def one_of_each(text: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a text has at least one word of each group; words folded as in tokens()."""
+    words = tokens(text)
+    wanted = F.lit(True)
+    for group in groups:
+        wanted = wanted & F.arrays_overlap(words, F.array(*(F.lit(w) for w in group)))
+    return wanted
+
+
+def snippet(text: Column, term: str, words: int = 34, before: int = 8) -> Column:
+    """`words` words of a text, from `before` ahead of the first one that has the folded term; null without a hit."""
+    split = F.regexp_extract_all(text, F.lit(r"(\S+)"), 1)
+    at = F.array_position(F.transform(F.regexp_extract_all(fold(text), F.lit(r"(\S+)"), 1), lambda w: w.contains(term)), True)
+    return F.when(at > 0, F.array_join(F.slice(split, F.greatest(at - before, F.lit(1)).cast("int"), words), " "))
+
+
+def sparse_fault(ids: Column, weights: Column) -> Column:
+    """The first fault of a sparse vector: null, size, empty, entry, repeated, weight, order; null when it has none."""
+    bad = F.exists(weights, lambda w: w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")))
+    return (
+        F.when(ids.isNull() | weights.isNull(), "null").when(F.size(ids) != F.size(weights), "size").when(F.size(ids) == 0, "empty").when(bad, "entry")
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated").when(F.exists(weights, lambda w: w <= 0), "weight").when(F.sort_array(ids) != ids, "order")
+    )
+
+
+def folded_vectors(passages: DataFrame, key: str, ids: str, weights: str, width: int) -> DataFrame:
+    """(key, vector): sparse vectors folded into `width` dimensions, a dense stand-in where no encoder is at hand; without entries no row."""
+    pairs = F.filter(F.arrays_zip(ids, weights), lambda e: e[ids].isNotNull() & e[weights].isNotNull())
+
+    def total(i: int) -> Column:
+        return F.aggregate(F.filter(pairs, lambda e: F.pmod(e[ids], F.lit(width)) == i), F.lit(0.0), lambda s, e: s + e[weights].cast("double"))
+
+    vector = F.array(*(total(i) for i in range(width)))
+    return passages.where(F.size(ids) > 0).select(key, vector.alias("vector")).where(F.exists("vector", lambda x: x != 0))
+
+
+def first_per_page(hits: DataFrame, citations: DataFrame, key: str) -> DataFrame:
+    """hits with the page of their first citation (by title, locator, source), and of each page only the best hit; hits without a citation go."""
+    order = [F.asc_nulls_last("title"), F.asc_nulls_last("locator"), F.asc("source_id"), F.asc("asset_sha")]
+    first = citations.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1")
+    first = first.select(key, "asset_sha", F.coalesce(F.col("page").cast("string"), "locator").alias("page_key"))
+    met = hits.join(first, key)
+    return met.withColumn("_n", F.row_number().over(Window.partitionBy("asset_sha", "page_key").orderBy(F.desc("score"), key))).where("_n = 1").drop("_n")
+
+
+def hybrid(texts: DataFrame, dense: DataFrame, sparse: DataFrame, citations: DataFrame, terms: list[str], vector: list[float], weights: dict[int, float], limit: int, key: str = "seq") -> DataFrame:
+    """(key, score, methods, asset_sha, page_key, place): lexical, dense and sparse legs over one key, fused.
+
+    citations are those that pass the filters: a hit counts only if it has one, and
+    places are given after that, so that filtered-out hits take none. The dense leg
+    looks at its best 4,000 before the filter. The sparse leg ranks the candidates
+    of the other two with a positive product, at half weight. Of a page only the
+    best hit is kept. Order: score, then key.
+    """
+    allowed = citations.select(key).distinct()
+    lexical = ranked(bm25(texts, key, "text", terms).join(allowed, key, "left_semi"), key)
+    near = ranked(dense_topk(dense, key, "vector", vector, 4000).join(allowed, key, "left_semi"), key)
+    candidates = lexical.select(key).unionByName(near.select(key)).distinct()
+    products = sparse_scores(sparse.join(candidates, key, "left_semi"), key, "sparse_ids", "sparse_weights", weights).withColumn("score", F.round("score", 6))
+    reranked = products.select(key, (F.row_number().over(Window.orderBy(F.desc("score"), F.desc(key))) - 1).alias("place"))
+    hits = first_per_page(fuse(key, text=(lexical, 1.0), dense=(near, 1.0), sparse_rerank=(reranked, 0.5)), citations, key)
+    best = hits.orderBy(F.desc("score"), key).limit(limit)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+
+
+def federate(collections: dict[str, DataFrame], key: str, place: str) -> DataFrame:
+    """Rows of several collections with the collection's name: of each key the one of the first collection that has it, there the least place."""
+    whole = None
+    for rank, (name, df) in enumerate(collections.items()):
+        part = df.withColumn("_rank", F.lit(rank)).withColumn("collection", F.lit(name))
+        whole = part if whole is None else whole.unionByName(part)
+    best = whole.groupBy(key).agg(F.min(F.struct("_rank", place, "collection")).alias("_best"))
+    return best.select(key, f"_best.{place}", "_best.collection")

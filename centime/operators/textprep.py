@@ -97,3 +97,21 @@ def exact_dedup(df: DataFrame, text: str, key: str) -> DataFrame:
     """One row for each distinct text: its digest, the smallest key and how many rows have it; null texts have none."""
     held = df.where(F.col(text).isNotNull())
     return held.groupBy(F.sha2(F.col(text), 256).alias("digest")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
+
+
+def recover(segments: DataFrame, by: list[str], begin: str, end: str, text: str) -> DataFrame:
+    """(by, digest, segments, moved, wrong_length, word_split): a block put together from its segments in order.
+
+    moved: a segment does not begin where the one before ended (the first at 0);
+    wrong_length: its places are not as many as its characters; word_split: two
+    segments meet inside a word. digest: SHA-256 of the text put together.
+    """
+    window = Window.partitionBy(*by).orderBy(begin, end, text)
+    before = F.lag(text).over(window)
+    split = (before != "") & (F.col(text) != "") & ~F.substring(before, -1, 1).rlike(r"\s") & ~F.substring(text, 1, 1).rlike(r"\s")
+    marked = segments.select(*by, begin, end, text, (F.col(begin) != F.coalesce(F.lag(end).over(window), F.lit(0))).alias("_moved"), F.coalesce(split, F.lit(False)).alias("_split"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(begin, end, text))), lambda s: s[text]), "")
+    return marked.groupBy(*by).agg(
+        F.sha2(joined, 256).alias("digest"), F.count(F.lit(1)).alias("segments"), F.bool_or("_moved").alias("moved"), F.bool_or(F.col(end) - F.col(begin) != F.length(text)).alias("wrong_length"),
+        F.bool_or("_split").alias("word_split"),
+    )
