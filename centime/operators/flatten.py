@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from centime.session import durable
+
 # The members that hold the items of a delivered file, and registry names of the typed tables.
 CONTAINERS = ("items", "source_arithmetic_notices", "groups")
 REGISTRIES = {"source_reconciliation": "source-reconciliation", "delivery_check": "delivery-check", "action_groups": "actions-p174"}
@@ -157,15 +159,18 @@ def amounts_titles_labels(raw: DataFrame, **typed: DataFrame) -> DataFrame:
 
     A comparison with a number in values_cents.RECETTES (0 and numbers as text
     count), a supporting document with a title that is not blank, a parent with a
-    program_label that is not empty. Distinct.
+    program_label that is not empty. Distinct. All tags come from one pass, written
+    partitioned by tag; each tag is then read alone, with its schema.
     """
-    tagged = flatten(raw, tags=("comparison", "document", "parent"), **typed)
-    value = F.get_json_object("payload", "$.values_cents.RECETTES")
-    title = F.get_json_object("payload", "$.title")
-    label = F.get_json_object("payload", "$.program_label")
-    carries = (
-        F.when(F.col("tag") == "comparison", value.isNotNull() & is_number(value))
-        .when(F.col("tag") == "document", title.isNotNull() & title.rlike(r"(?U)\S"))
-        .otherwise(label.isNotNull() & (label != ""))
-    )
-    return tagged.where(carries).select("registry", "record_id", "item_no", "child_no").distinct()
+    tagged = durable(flatten(raw, tags=("comparison", "document", "parent"), **typed), "tagged", by=["tag"])
+    keys = ["registry", "record_id", "item_no", "child_no"]
+    value = F.try_element_at("values_cents", F.lit("RECETTES"))
+    found = [
+        table_of(tagged, tag).where(carries).select(*keys)
+        for tag, carries in (
+            ("comparison", value.isNotNull() & is_number(value)),
+            ("document", F.col("title").rlike(r"(?U)\S")),
+            ("parent", F.col("program_label") != ""),
+        )
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()

@@ -89,3 +89,8 @@ def forward_fill(rows: DataFrame, section: list[str], order: list[Column], fille
     for column, name in filled.items():
         rows = rows.withColumn(name, F.last(column, ignorenulls=True).over(window))
     return rows.drop("_run")
+
+
+def public(df: DataFrame) -> DataFrame:
+    """df without its private columns, those whose name begins with '_'."""
+    return df.select(*(c for c in df.columns if not c.startswith("_")))

@@ -291,7 +291,25 @@ def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.groupBy("fiscal_year", "stage", "budget").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("program").alias("programs"), F.sum("published_total_euros").alias("euros"))
 
 
-@query()
+_REGISTRY = r"""r AS (SELECT registry, record_id, CAST(payload AS JSON) AS p FROM registry_raw WHERE json_valid(payload)),
+c AS (SELECT registry, record_id, CASE WHEN json_type(p) = 'ARRAY' THEN p WHEN json_type(p) <> 'OBJECT' THEN '[]'::JSON WHEN json_exists(p, '$.items') THEN p -> '$.items' WHEN json_exists(p, '$.source_arithmetic_notices') THEN p -> '$.source_arithmetic_notices'
+  WHEN json_exists(p, '$.groups') THEN p -> '$.groups' ELSE json_array(p) END AS a FROM r),
+i AS (SELECT registry, record_id, unnest(range(len(l))) AS item_no, unnest(l) AS it FROM (SELECT registry, record_id, CAST(CASE WHEN json_type(a) = 'ARRAY' THEN a WHEN json_type(a) = 'NULL' THEN '[]'::JSON ELSE json_array(a) END AS JSON[]) AS l FROM c)
+  UNION ALL SELECT 'source-reconciliation', record_id, 0, to_json(source_reconciliation) FROM source_reconciliation UNION ALL SELECT 'delivery-check', record_id, 0, to_json(delivery_check) FROM delivery_check
+  UNION ALL SELECT 'actions-p174', record_id, 0, to_json(action_groups) FROM action_groups),
+o AS (SELECT * FROM i WHERE json_type(it) = 'OBJECT'),
+f AS (SELECT registry, record_id, item_no, 'comparison' AS tag, 'comparisons' AS field, it -> '$.comparisons' AS x FROM o UNION ALL SELECT registry, record_id, item_no, 'document', 'supporting_documents', it -> '$.supporting_documents' FROM o
+  UNION ALL SELECT registry, record_id, item_no, 'evidence', 'evidence', it -> '$.evidence' FROM o UNION ALL SELECT registry, record_id, item_no, 'parent', 'parent', it -> '$.parent' FROM o
+  UNION ALL SELECT registry, record_id, item_no, 'parent', 'parents', it -> '$.parents' FROM o UNION ALL SELECT registry, record_id, item_no, 'action', 'actions', it -> '$.actions' FROM o),
+k AS (SELECT registry, record_id, item_no, tag, field, unnest(range(len(l))) AS child_no, unnest(l) AS y FROM (SELECT registry, record_id, item_no, tag, field, CAST(CASE WHEN json_type(x) = 'ARRAY' THEN x ELSE json_array(x) END AS JSON[]) AS l FROM f WHERE x IS NOT NULL AND json_type(x) <> 'NULL')),
+d AS (SELECT * FROM k WHERE json_type(y) = 'OBJECT'),
+n AS (SELECT registry, record_id, item_no, 'subaction' AS tag, 'subactions' AS field, child_no AS parent_no, y -> '$.subactions' AS x FROM d WHERE tag = 'action'),
+m AS (SELECT registry, record_id, item_no, tag, field, parent_no, unnest(range(len(l))) AS child_no, unnest(l) AS y FROM (SELECT registry, record_id, item_no, tag, field, parent_no, CAST(CASE WHEN json_type(x) = 'ARRAY' THEN x ELSE json_array(x) END AS JSON[]) AS l FROM n WHERE x IS NOT NULL AND json_type(x) <> 'NULL')),
+every AS (SELECT registry, record_id, item_no, 'item' AS tag, NULL AS field, 0 AS child_no, NULL AS parent_tag, NULL AS parent_no, it AS y FROM o UNION ALL SELECT registry, record_id, item_no, tag, field, child_no, 'item', 0, y FROM d
+  UNION ALL SELECT registry, record_id, item_no, tag, field, child_no, 'action', parent_no, y FROM m WHERE json_type(y) = 'OBJECT')"""
+
+
+@query(f"WITH {_REGISTRY} SELECT registry, tag, count(*) AS n FROM every GROUP BY ALL")
 def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of rows of each flat table below the registries, all from one pass; registry_TAG has the rows."""
     from centime.operators.flatten import REGISTRIES, flatten
@@ -300,15 +318,32 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.groupBy("registry", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+METRICS = ("RECETTES", "DEPENSES", "SOLDE")
+
+
+def _registry_sql(tag: str) -> str:
+    """The flat table of a tag in SQL; a map of figures has a column for each metric."""
+    keys = ("registry", "record_id", "item_no", "field", "child_no", "parent_tag", "parent_no")
+    columns = []
+    for name, kind in (part.strip().split(" ", 1) for part in SCHEMAS[tag].replace("string,string", "string").split(",")):
+        if kind.startswith("map"):
+            columns += [f"""y ->> '$.{name}.{m}' AS {name}_{m.lower()}""" for m in METRICS]
+        else:
+            columns.append(f"""y ->> '$.{name}' AS "{f'{tag}_{name}' if name in keys else name}\"""")
+    return f"WITH {_REGISTRY} SELECT registry, record_id, CAST(item_no AS INTEGER) AS item_no, field, CAST(child_no AS INTEGER) AS child_no, parent_tag, CAST(parent_no AS INTEGER) AS parent_no, {', '.join(columns)} FROM every WHERE tag = '{tag}'"
+
+
 def _registry_table(tag: str) -> None:
     def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         from centime.operators.flatten import REGISTRIES, flatten, table_of
 
-        return table_of(flatten(table(spark, sf_dir, "registry_raw"), tags=(tag,), **{n: table(spark, sf_dir, n) for n in REGISTRIES}), tag)
+        found = table_of(flatten(table(spark, sf_dir, "registry_raw"), tags=(tag,), **{n: table(spark, sf_dir, n) for n in REGISTRIES}), tag)
+        maps = [c for c, kind in found.dtypes if kind.startswith("map")]
+        return found.select("*", *(F.try_element_at(c, F.lit(m)).alias(f"{c}_{m.lower()}") for c in maps for m in METRICS)).drop(*maps)
 
     flat.__name__ = f"registry_{tag}"
     flat.__doc__ = f"The flat table of tag {tag} below the registries, with its keys and columns."
-    query()(flat)
+    query(_registry_sql(tag))(flat)
 
 
 for _tag in SCHEMAS:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from centime.plans import explorer, passages, published, retrieval
+from centime.plans import explorer, passages, published, retrieval, tables
 from centime.session import table
 
 
@@ -23,7 +23,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**published.QUERIES, **passages.QUERIES, **explorer.QUERIES, **retrieval.QUERIES, **{f.__name__: f for f in (p3_found, p4_found)}}
+    return {**published.QUERIES, **passages.QUERIES, **explorer.QUERIES, **retrieval.QUERIES, **tables.QUERIES, **{f.__name__: f for f in (p3_found, p4_found)}}
 
 
 _P3 = r"""WITH r AS (SELECT registry, record_id, CAST(payload AS JSON) AS p FROM registry_raw WHERE json_valid(payload)),
@@ -40,4 +40,4 @@ WHERE (t = 'c' AND regexp_matches(y ->> '$.values_cents.RECETTES', '^\s*[-+]?[0-
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**published.SQL, **passages.SQL, **explorer.SQL, **retrieval.SQL, "p3_found": _P3}
+    return {**published.SQL, **passages.SQL, **explorer.SQL, **retrieval.SQL, **tables.SQL, "p3_found": _P3}

@@ -51,15 +51,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(_scratch[0])
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df once to the shared folder and read it back.
+def durable(df: DataFrame, name: str = "step", by: list[str] | None = None) -> DataFrame:
+    """Write df once to the shared folder, partitioned by some columns if asked, and read it back.
 
     Cuts lineage and survives the loss of executors; used where a result feeds
     several consumers or an iteration. Nothing is kept in executors' memory.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/centime/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
