@@ -69,6 +69,6 @@ def test_each_flat_table_is_a_query(spark, tmp_path):
     assert {tag: len(rows) for tag, rows in found.items()} == {"item": 5, "comparison": 2, "document": 0, "evidence": 0, "parent": 7, "action": 2, "subaction": 2}
     assert sorted((r["record_id"], r["item_no"], r["child_no"], r["program_label"], r["title"], r["cents"]) for r in found["parent"] if r["field"] == "parents" and r["child_no"] == 0) == [(0, 0, 0, "p", None, "3"), (0, 1, 0, "p", None, "3")]
     assert {(r["parent_tag"], r["parent_no"], r["code"], r["euros"]) for r in found["subaction"]} == {("action", 0, "01.1", "5")}
-    assert {(r["edition"], r["values_cents"]["RECETTES"]) for r in found["comparison"]} == {("1", "7")}
+    assert {(r["edition"], r["values_cents_recettes"]) for r in found["comparison"]} == {("1", "7")}
     assert sum(r["parent_field"] == "f" for r in found["parent"]) == 2
     assert all(len(set(queries()[f"registry_{tag}"](spark, str(tmp_path)).columns)) == len(queries()[f"registry_{tag}"](spark, str(tmp_path)).columns) for tag in SCHEMAS)
