@@ -38,6 +38,8 @@ VISITS = 9
 LEAF = 192
 #: Branchings by direction before median splits begin; directions of a vector that are looked at.
 DEPTH, WIDTH = 4, 7
+#: Vectors of a dimension that a direction may hold before it gets shorter, at least.
+TYPICAL = 80
 #: Vectors that frequencies of dimensions and medians are fitted on, at most; vectors of the sample that a median takes at least.
 SAMPLE, FEW = 20_000, 16
 #: Nodes that split, at most about: the bound of what is sent to the tasks (8 to 16 bytes a node). From LEAF * NODES / TREES vectors on
@@ -113,11 +115,16 @@ class Vectors:
 
 
 class Rarity:
-    """How frequent the dimensions of the sample are; dimensions outside it count as rarest."""
+    """How frequent dimensions are, from a sample of count of total vectors; dimensions outside it count as rarest.
 
-    def __init__(self, dims: np.ndarray, count: int):
+    A dimension of up to TYPICAL vectors, or a thousandth of all, is not too
+    frequent for a direction of full length: leaves are then not too small.
+    """
+
+    def __init__(self, dims: np.ndarray, count: int, total: int | None = None):
+        total = max(1, count if total is None else total)
         self.dims, seen = np.unique(dims, return_counts=True)
-        self.log = np.log(np.maximum(1.0, seen * (8000 / max(count, 1)) / 8))
+        self.log = np.log(np.maximum(1.0, seen * (total / max(count, 1)) / max(TYPICAL, total / 1000)))
 
     def log_of(self, dims: np.ndarray) -> np.ndarray:
         if not len(self.dims):
@@ -184,7 +191,7 @@ def _fitted(classes: DataFrame, sample: list[bytes], count: int) -> Top:
     """The top of the forest: nodes of more than LEAF vectors split (see NODES)."""
     spark = classes.sparkSession
     vectors = Vectors(sample)
-    top = Top(Rarity(vectors.dim, len(vectors)))
+    top = Top(Rarity(vectors.dim, len(vectors), count))
     most = max(LEAF, TREES * count // NODES)
     counted: dict[int, int] = {}
     for level in range(1, DEPTH + 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -177,9 +178,30 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS words, CASE WHEN len(words) > 0 THE
   CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda x: list_contains(common, x))) / len(words), 6) ELSE 0 END AS common_share FROM w, c"""
 
 
+def _p5(pairs: bool) -> str:
+    """Cells of one look by folding every code point of the first plane to its plain form."""
+    from centime.functions.lookalike import fold_shape
+
+    plain = {chr(c): fold_shape(chr(c)) for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xF900}
+    plain = {c: f for c, f in plain.items() if f != unicodedata.normalize("NFC", c)}
+    single, gone = {c: f for c, f in plain.items() if len(f) == 1}, [c for c, f in plain.items() if not f]
+    source, target = ("".join(x).replace("'", "''") for x in (single, single.values()))
+    text = f"translate(nfc_normalize(text), '{source}{''.join(gone)}', '{target}')"
+    for c, f in plain.items():
+        if len(f) > 1:
+            text = f"replace({text}, '{c}', '{f}')" if unicodedata.category(c) in ("Ll", "Lu") and "LATIN" in unicodedata.name(c, "") else text
+    cells = f"""WITH f AS (SELECT 'raw' AS field, id, source_id, table_index, raw AS text FROM pdf_facts UNION ALL SELECT 'row_label', id, source_id, table_index, row_label FROM pdf_facts),
+c AS (SELECT DISTINCT *, nfc_normalize(replace({text}, chr(9), ' ')) AS form FROM f WHERE text IS NOT NULL AND source_id IS NOT NULL AND table_index IS NOT NULL AND id IS NOT NULL)"""
+    if pairs:
+        return f"{cells} SELECT DISTINCT a.field AS field, a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.field = b.field AND a.source_id = b.source_id AND a.table_index = b.table_index AND a.form = b.form AND a.text <> b.text AND a.id < b.id"
+    return f"""{cells}, g AS (SELECT field, source_id, table_index, form, min(id) AS class FROM c GROUP BY ALL HAVING count(DISTINCT text) > 1) SELECT DISTINCT field, id, class FROM c JOIN g USING (field, source_id, table_index, form)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where SQL can say it; the others are tested against brute force and public libraries in tests/llm."""
     return {
+        "p5_found": _p5(pairs=True),
+        "p5_classes": _p5(pairs=False),
         "p2_found": f"{_P2} SELECT DISTINCT node AS seq_a, other AS seq_b FROM r WHERE node < other",
         "p2_groups": f'{_P2} SELECT node AS seq, min(other) AS "group" FROM r GROUP BY 1',
         "p6_found": _P6,

@@ -124,3 +124,18 @@ def test_nodes_are_counted_exactly(spark):
     values, counts = np.unique(keys, return_counts=True)
     expected = values[counts > neighbours_module.LEAF]
     assert (top.splits[1].tolist() if len(top.splits) > 1 else []) == expected.tolist()
+
+
+def test_recall_of_a_small_collection_of_distant_neighbours(spark):
+    # a few hundred vectors whose nearest have cosines of 0.5 to 0.7: leaves must not become too small
+    draw = np.random.default_rng(6)
+    centres = [(draw.choice(3000, 40, replace=False), draw.random(40) + 0.2) for _ in range(60)]
+    rows = []
+    for k in range(600):
+        ids, weights = centres[k % 60]
+        kept = draw.random(40) < 0.7
+        other = draw.choice(np.arange(3000, 9000), 12, replace=False)
+        rows.append((k, [*map(int, ids[kept]), *map(int, other)], [*map(float, weights[kept]), *map(float, draw.random(12) * 0.5 + 0.1)], None))
+    got = {tuple(r) for r in similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    expected = brute(rows, 5, 0.5)
+    assert len(got & expected) >= 0.95 * len(expected)
