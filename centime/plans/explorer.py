@@ -254,7 +254,7 @@ def blocked_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_N} SELECT path, array_to_string(list_sort(list(DISTINCT source)), '|') AS sources, array_to_string(list_sort(list(DISTINCT page)), '|') AS pages, count(DISTINCT (source, page)) FILTER (page IS NOT NULL) AS citations FROM n WHERE depth = 3 GROUP BY 1"""
+    f"""WITH {_N} SELECT path, array_to_string(list_sort(list(DISTINCT source)), '|') AS sources, coalesce(array_to_string(list_sort(list(DISTINCT page) FILTER (page IS NOT NULL)), '|'), '') AS pages, count(DISTINCT (source, page)) FILTER (page IS NOT NULL) AS citations FROM n WHERE depth = 3 GROUP BY 1"""
 )
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources, pages and citations of each action."""

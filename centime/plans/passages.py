@@ -229,16 +229,6 @@ def action_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.walk(table(spark, sf_dir, "action_groups"), ["record_id"])
 
 
-@query(
-    """WITH n AS (SELECT record_id, notice_key AS k, source_sha, values_cents AS v FROM delivery_check WHERE len(notice_key) = 6 UNION ALL SELECT record_id, notice_key, source_sha, values_cents FROM source_reconciliation WHERE len(notice_key) = 6)
-SELECT f.id, n.record_id FROM pdf_facts f JOIN n ON n.k[1] = f.source_id AND TRY_CAST(n.k[2] AS INTEGER) = f.table_index AND TRY_CAST(n.k[3] AS INTEGER) = f.exercise AND n.k[4] = f.perimeter AND n.k[5] = f.entity
-  AND TRY_CAST(n.k[6] AS INTEGER) = coalesce(f.balance_row_index, f.row_index) AND n.source_sha = f.source_sha AND n.v[f.metric] = f.amount_cents"""
-)
-def notice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the notices of their row: all six parts of the key and the source's hash agree, and the amount is still the one the notice is about."""
-    return reconcile.notices_of(_facts_with_row(spark, sf_dir), _notices(spark, sf_dir), NOTICE_KEY, "metric", "amount_cents").select("id", "record_id")
-
-
 NOTICE_KEY = {"source_id": "string", "table_index": "int", "exercise": "int", "perimeter": "string", "entity": "string", "row": "int"}
 
 
@@ -351,12 +341,14 @@ for _tag in SCHEMAS:
 
 
 @query(
-    """SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'size' ELSE 'norm' END AS fault FROM embeddings WHERE len(embedding) <> 64 OR abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.006"""
+    """SELECT seq, CASE WHEN sparse_weights IS NULL OR len(sparse_weights) <> 44 THEN 'size' WHEN len(list_filter(sparse_weights, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'entry' ELSE 'norm' END AS fault FROM passages
+WHERE sparse_weights IS NULL OR len(sparse_weights) <> 44 OR len(list_filter(sparse_weights, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 OR abs(sqrt(list_dot_product(sparse_weights::DOUBLE[], sparse_weights::DOUBLE[])) - 1) > 0.006"""
 )
 def vector_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights as vectors of 44 entries and unit length, which most are not."""
     from centime.operators.lookup import vector_faults as faults
 
-    return faults(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return faults(table(spark, sf_dir, "passages"), "seq", "sparse_weights", 44)
 
 
 @query("SELECT doc_id, source, title FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC) = 1")
