@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from centime.functions.scalars import fold
+from centime.session import durable, on_all_cores
 
 K1, B = 1.2, 0.75
 #: Places of a ranked list that count, and the constant of reciprocal-rank fusion.
@@ -29,14 +30,15 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], every: bool = True) -> DataFrame:
-    """(key, score) of documents with the terms (all of them, or any). One scan for statistics, one for scores; only matching rows are shuffled."""
-    counted = docs.select(key, tokens(F.col(text)).alias("_words")).withColumn("_length", F.size("_words"))
+    """(key, score) of documents with the terms (all of them, or any).
 
-    def times(term: str) -> Column:
-        return F.size(F.filter("_words", lambda w: w == term))
-
-    counts = [times(t).alias(f"_t{i}") for i, t in enumerate(terms)]
-    counted = counted.select(key, "_length", *counts)
+    Texts are read once: length and counts of each document, a few bytes, are
+    written and serve the statistics and the scores. Terms are folded words.
+    """
+    folded = fold(F.col(text))
+    counts = [F.regexp_count(folded, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"_t{i}") for i, t in enumerate(terms)]
+    held = on_all_cores(docs.select(key, text).where(F.col(text).isNotNull()))
+    counted = durable(held.select(key, F.regexp_count(folded, F.lit("[a-z0-9]+")).alias("_length"), *counts), "counts")
     totals = counted.where("_length > 0").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_length").alias("_avg"), *(F.count(F.when(F.col(f"_t{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(terms)))
     )
@@ -144,13 +146,11 @@ def sparse_fault(ids: Column, weights: Column) -> Column:
 
 def folded_vectors(passages: DataFrame, key: str, ids: str, weights: str, width: int) -> DataFrame:
     """(key, vector): sparse vectors folded into `width` dimensions, a dense stand-in where no encoder is at hand; without entries no row."""
-    pairs = F.filter(F.arrays_zip(ids, weights), lambda e: e[ids].isNotNull() & e[weights].isNotNull())
-
-    def total(i: int) -> Column:
-        return F.aggregate(F.filter(pairs, lambda e: F.pmod(e[ids], F.lit(width)) == i), F.lit(0.0), lambda s, e: s + e[weights].cast("double"))
-
-    vector = F.array(*(total(i) for i in range(width)))
-    return passages.where(F.size(ids) > 0).select(key, vector.alias("vector")).where(F.exists("vector", lambda x: x != 0))
+    entries = passages.select(key, F.explode(F.arrays_zip(F.col(ids).alias("i"), F.col(weights).alias("w"))).alias("e")).where("e.i IS NOT NULL AND e.w IS NOT NULL")
+    at = F.pmod(F.col("e.i"), F.lit(width))
+    sums = [F.coalesce(F.sum(F.when(at == i, F.col("e.w").cast("double"))), F.lit(0.0)).alias(f"_{i}") for i in range(width)]
+    vectors = entries.groupBy(key).agg(*sums).select(key, F.array(*(f"_{i}" for i in range(width))).alias("vector"))
+    return vectors.where(F.exists("vector", lambda x: x != 0))
 
 
 def first_per_page(hits: DataFrame, citations: DataFrame, key: str) -> DataFrame:
@@ -172,8 +172,9 @@ def hybrid(texts: DataFrame, dense: DataFrame, sparse: DataFrame, citations: Dat
     best hit is kept. Order: score, then key.
     """
     allowed = citations.select(key).distinct()
-    lexical = ranked(bm25(texts, key, "text", terms).join(allowed, key, "left_semi"), key)
-    near = ranked(dense_topk(dense, key, "vector", vector, 4000).join(allowed, key, "left_semi"), key)
+    allowed = durable(allowed, "allowed")
+    lexical = durable(ranked(bm25(texts, key, "text", terms).join(allowed, key, "left_semi"), key), "lexical")
+    near = durable(ranked(dense_topk(dense, key, "vector", vector, 4000).join(allowed, key, "left_semi"), key), "near")
     candidates = lexical.select(key).unionByName(near.select(key)).distinct()
     products = sparse_scores(sparse.join(candidates, key, "left_semi"), key, "sparse_ids", "sparse_weights", weights).withColumn("score", F.round("score", 6))
     reranked = products.select(key, (F.row_number().over(Window.orderBy(F.desc("score"), F.desc(key))) - 1).alias("place"))

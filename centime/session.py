@@ -65,6 +65,15 @@ def durable(df: DataFrame, name: str = "step", by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """df in at least as many pieces as there are cores: a table that comes in fewer, as one small file does, is dealt out.
+
+    For work that costs more than moving the rows; tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediates that durable has written so far; for when no result of them will be read again."""
     removed = 0
