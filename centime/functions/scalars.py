@@ -81,16 +81,14 @@ def last_year(c: Column | str) -> Column:
     return F.try_element_at(F.regexp_extract_all(text(c), F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), 1), F.lit(-1)).cast("int")
 
 
-def stage_for(kind: Column | str, edition: Column | str, year: Column | str, draft: str) -> Column:
+def stage_for(kind: Column | str, edition: Column | str, year: Column | str) -> Column:
     """The stage of a year's figure in a publication of one kind and edition.
 
     Its own year: the kind. The year before: the kind corrected; two years before
-    and more: stated; later years: a projection. draft is the kind that is a bill,
-    all others are taken as they are named; a null in any gives null.
+    and more: stated; later years: a projection. A null in any gives null.
     """
     kind, gap = text(kind), text(edition) - text(year)
-    corrected = F.when(kind == draft, F.lit(f"{draft}_RECTIF")).otherwise(F.concat(kind, F.lit("_RECTIF")))
-    return F.when(gap < 0, "PROJECTION").when(gap == 0, kind).when(gap == 1, corrected).when(gap > 1, "CONSTATE")
+    return F.when(gap < 0, "PROJECTION").when(gap == 0, kind).when(gap == 1, F.concat(kind, F.lit("_RECTIF"))).when(gap > 1, "CONSTATE")
 
 
 def month_key(c: Column | str) -> Column:

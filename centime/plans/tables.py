@@ -118,7 +118,7 @@ def notice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a fact's stage is the one that its kind, edition and year give."""
     facts = table(spark, sf_dir, "pdf_facts").where("edition IS NOT NULL AND exercise IS NOT NULL AND kind IS NOT NULL")
-    return facts.select("id", (F.col("stage") == scalars.stage_for("kind", "edition", "exercise", "PLFSS")).alias("stage_holds"))
+    return facts.select("id", (F.col("stage") == scalars.stage_for("kind", "edition", "exercise")).alias("stage_holds"))
 
 
 @query(

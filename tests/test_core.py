@@ -35,7 +35,7 @@ def test_scalars(spark):
     assert one(spark, scalars.safe_csv(F.lit(" =1+1"))) == "' =1+1"
     assert one(spark, scalars.month_key(F.lit("mars 2020, puis août 2021"))) == "2021-08"
     assert one(spark, scalars.excel_scale(F.lit("0,,"))) == 1000000
-    stages = [one(spark, scalars.stage_for(F.lit(k), F.lit(e), F.lit(y), "BILL")) for k, e, y in (("BILL", 2027, 2027), ("BILL", 2027, 2026), ("BILL", 2027, 2025), ("LAW", 2026, 2027), ("LAW", 2026, 2025))]
+    stages = [one(spark, scalars.stage_for(F.lit(k), F.lit(e), F.lit(y))) for k, e, y in (("BILL", 2027, 2027), ("BILL", 2027, 2026), ("BILL", 2027, 2025), ("LAW", 2026, 2027), ("LAW", 2026, 2025))]
     assert stages == ["BILL", "BILL_RECTIF", "CONSTATE", "PROJECTION", "LAW_RECTIF"]
     assert one(spark, scalars.raw_quantum(F.lit("(1 234,50)"), F.lit("1000"))) == 10.0
     assert one(spark, scalars.raw_quantum(F.lit("12 M€"), F.lit("1000"))) is None
