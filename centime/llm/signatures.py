@@ -14,6 +14,10 @@ the root, and a pair of nodes is dropped as soon as even the greatest possible
 overlap is too small. Every candidate comes out of such a walk, and is then
 verified on the whole sets; groups are the connected components of the links.
 
+With many parts nearly each entry of a text goes to another one, with the text's
+bitmap. Parts are then walked in rounds, and the entries of one round at a time
+are on disk.
+
 Where very many texts are near-copies of each other, all their pairs are
 candidates. Such a triple's entries are first linked along chains only; when
 groups are known, they are walked again, and pairs of nodes within one group are
@@ -40,14 +44,16 @@ THRESHOLD = 0.6
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Allowance for rounding where sizes are compared.
 SLACK = 1e-6
-#: Bits of a token bitmap.
-BITS = 768
+#: Bits of a token bitmap; texts with more tokens than 1 / DENSE of that have up to WIDER times as many, as a bitmap with most bits set rules out nothing.
+BITS, WIDER, DENSE = 768, 4, 1.5
 #: Bytes of a stored token.
 WIDTH = 5
 #: Entries of a tree's leaf, children of its other nodes.
 LEAF, FAN = 16, 4
 #: Parts at least, and entries of a part beyond which there are more parts.
 PARTS, ENTRIES = 32, 300_000
+#: Parts are walked in rounds of at least PARTS; a round's entries take about so many times the bytes of the sets, an entry some ENTRY besides its bitmap.
+SHARE, ENTRY = 1.5, 30
 #: A triple with more candidates than that many for each entry, and than that many in all, waits until groups are known.
 PLENTY, SEVERAL = 8, 4096
 #: Entries of one triple that one task takes; more are split.
@@ -159,21 +165,59 @@ def first_tokens(tokens: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarr
     return tokens[order][first], owner[first], rest[first]
 
 
-def _postings(frequent, hot, parts: int, threshold: float):  # noqa: ANN001
-    """The entries of each set, a row for each part they are in; frequent and hot are broadcast."""
+def widened(sizes: np.ndarray) -> np.ndarray:
+    """How many times as wide as BITS the bitmaps of sets of these sizes are."""
+    wide = np.ones(len(sizes), np.int64)
+    while (more := (wide < WIDER) & (sizes * DENSE > wide * BITS)).any():
+        wide[more] *= 2
+    return wide
+
+
+def _firsts(frequent, threshold: float):  # noqa: ANN001
+    """Size, bitmap and first tokens of each set, in their order; frequent is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_token, chunks = hot.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 sets = batch.column(1).to_pylist()
                 tokens = unpack(b"".join(sets))
                 sizes = np.array([len(s) // WIDTH for s in sets], np.int64)
-                bits = np.zeros((len(sets), BITS), np.uint8)
-                bits[np.repeat(np.arange(len(sets)), sizes), (tokens % np.uint64(BITS)).astype(np.int64)] = 1
-                bits = np.packbits(bits, axis=1)
-                token, owner, rest = first_tokens(tokens, sizes, frequent.value, threshold)
+                text = np.repeat(np.arange(len(sets)), sizes)
+                widths, bitmap = widened(sizes) * BITS, [b""] * len(sets)
+                for width in np.unique(widths).tolist():
+                    has = np.flatnonzero(widths == width)
+                    own = widths[text] == width
+                    bits = np.zeros((len(has), width), np.uint8)
+                    bits[np.searchsorted(has, text[own]), (tokens[own] % np.uint64(width)).astype(np.int64)] = 1
+                    for i, x in zip(has.tolist(), np.packbits(bits, axis=1), strict=True):
+                        bitmap[i] = x.tobytes()
+                token, owner, _ = first_tokens(tokens, sizes, frequent.value, threshold)
+                raw, first = pack(token), np.searchsorted(owner, np.arange(len(sets) + 1)) * WIDTH
+                packed = pa.array([raw[first[i] : first[i + 1]] for i in range(len(sets))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), pa.array(bitmap, pa.binary()), packed], ["seq", "size", "bitmap", "tokens"])
+
+    return run
+
+
+FIRSTS = "seq bigint, size int, bitmap binary, tokens binary"
+
+
+def _postings(hot, parts: int, rounds: int, turn: int):  # noqa: ANN001
+    """The entries of each set in the parts of one round, a row for each part they are in; hot is broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_token, chunks = hot.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = batch.column(3).to_pylist()
+                token = unpack(b"".join(sets))
+                counts = np.array([len(s) // WIDTH for s in sets], np.int64)
+                sizes = batch.column(1).to_numpy()
+                owner = np.repeat(np.arange(len(sets)), counts)
+                # first tokens are the first in a set's order
+                rest = sizes[owner] - (np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts))
                 place = token
                 if len(hot_token):
                     near = np.minimum(np.searchsorted(hot_token, token.view(np.int64)), len(hot_token) - 1)
@@ -181,14 +225,14 @@ def _postings(frequent, hot, parts: int, threshold: float):  # noqa: ANN001
                     chunk = mix(seq + mix(token)) % chunks[near].astype(np.uint64)
                     place = np.where(hot_token[near] == token.view(np.int64), token + chunk * np.uint64(0x9E3779B97F4A7C15), token)
                 part = (mix(place) % np.uint64(parts)).astype(np.int32)
-                order = np.lexsort((owner, part))
+                here = np.flatnonzero(part % rounds == turn)
+                order = here[np.lexsort((owner[here], part[here]))]
                 part, owner, token, rest = part[order], owner[order], token[order], rest[order]
                 starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])) if len(part) else np.empty(0, np.int64)
-                one = owner[starts]
-                bitmap = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(one), [None, pa.py_buffer(bits[one].tobytes())]).cast(pa.binary())
+                one = pa.array(owner[starts])
                 offsets = pa.array(np.append(starts, len(part)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token.view(np.int64), rest.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), batch.column(0).take(pa.array(one)), pa.array(sizes[one].astype(np.int32)), bitmap, *lists], POSTING_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *(batch.column(i).take(one) for i in range(3)), *lists], POSTING_NAMES)
 
     return run
 
@@ -201,19 +245,20 @@ FOUND_NAMES = ["a", "b", "token", "size", "bitmap", "rest"]
 
 
 class Tree:
-    """A signature tree over entries. row tells the text of each entry; size, bitmap, group (-1: none) and side are those of texts.
+    """A signature tree over entries. row tells the text of each entry; size, bitmap, group (-1: none) and side are those of texts, wide the wider bitmaps of some.
 
     order: the entries in the tree's order; token_no: of each, in that order, the
     place of its token among all; found: of each token the pairs found; waits:
     tokens whose pairs are not looked at.
     """
 
-    def __init__(self, token, row, rest, size, bitmap, group=None, side=None):  # noqa: ANN001
+    def __init__(self, token, row, rest, size, bitmap, group=None, side=None, wide=()):  # noqa: ANN001
         group = np.full(len(size), -1) if group is None else group
         # like entries next to each other: by token, then group, size, bitmap
         self.order = np.lexsort((bitmap[row, 0], size[row], group[row], token))
         self.row, self.rest = row[self.order], rest[self.order]
         self.size, self.bitmap, self.group, self.side = size, bitmap, group, side
+        self.wide = [(place, bits, size[place >= 0]) for place, bits in wide]
         token = token[self.order]
         self.token_no = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
         self.members = np.bincount(self.token_no)
@@ -289,6 +334,10 @@ class Tree:
             kept &= (self.side[a] != self.side[b]) | (self.side[a] < 0)
         at = np.flatnonzero(kept)
         kept[at] = texts_may_match(self.bitmap, self.size, a[at], b[at], threshold)
+        for place, bits, size in self.wide:
+            at = np.flatnonzero(kept)
+            at = at[(place[a[at]] >= 0) & (place[b[at]] >= 0)]
+            kept[at] = texts_may_match(bits, size, place[a[at]], place[b[at]], threshold)
         return kept
 
 
@@ -314,8 +363,24 @@ def texts_may_match(bitmap: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.n
     return kept
 
 
-def _bitmaps(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8).view(np.uint64)
+def _bitmaps(column: pa.ChunkedArray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(bitmap, wide): the bitmaps of BITS; and for each greater width the place of a text among those that have it, or -1, and their bitmaps.
+
+    A bit of a narrower bitmap is set if one of those that fall together in it is.
+    """
+    raw, step = column.to_pylist(), BITS // 8
+    times, levels, fold = np.array([len(x) // step for x in raw], np.int64), [], 1
+    while len(has := np.flatnonzero(times >= fold)):
+        bits = np.empty((len(has), fold * step), np.uint8)
+        for n in np.unique(times[has]).tolist():
+            own = np.flatnonzero(times[has] == n)
+            whole = np.frombuffer(b"".join([raw[i] for i in has[own].tolist()]), np.uint8)
+            bits[own] = np.bitwise_or.reduce(whole.reshape(len(own), n // fold, fold * step), axis=1)
+        place = np.full(len(raw), -1)
+        place[has] = np.arange(len(has))
+        levels.append((place, bits.view(np.uint64)))
+        fold *= 2
+    return levels[0][1], levels[1:]
 
 
 def _distinct(seq_a: np.ndarray, seq_b: np.ndarray) -> pa.RecordBatch:
@@ -343,8 +408,8 @@ def _candidates(hot, threshold: float, plenty: float, several: int):  # noqa: AN
         token, rest, row = token[met], rest[met].astype(np.int64), row[met]
         if not len(token):
             return
-        bitmap = _bitmaps(table.column(3))
-        tree = Tree(token, row, rest, size, bitmap)
+        bitmap, wide = _bitmaps(table.column(3))
+        tree = Tree(token, row, rest, size, bitmap, wide=wide)
         here = token[tree.order]
         hot_token = hot.value[0]
         if len(hot_token):
@@ -358,6 +423,7 @@ def _candidates(hot, threshold: float, plenty: float, several: int):  # noqa: AN
             kept = ~tree.waits[tree.token_no[a]]
             chains = [(a[kept], b[kept])]
             at = np.flatnonzero(tree.waits[tree.token_no])
+            packed = table.column(3).combine_chunks()
             # chains of growing step join what is alike at little cost
             for step in 1 << np.arange(int(tree.members.max()).bit_length()):
                 x, y = at[:-step], at[step:]
@@ -370,7 +436,7 @@ def _candidates(hot, threshold: float, plenty: float, several: int):  # noqa: AN
                 some = at[begin : begin + ROWS]
                 text = tree.row[some]
                 columns = [pa.array(seq[text]), pa.nulls(len(some), pa.int64()), pa.array(here[some]), pa.array(size[text].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in bitmap[text]], pa.binary()), pa.array(tree.rest[some].astype(np.int32))], FOUND_NAMES)
+                yield pa.RecordBatch.from_arrays([*columns, packed.take(pa.array(text)), pa.array(tree.rest[some].astype(np.int32))], FOUND_NAMES)
         yield _distinct(seq[tree.row[a]], seq[tree.row[b]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +452,8 @@ def _between_groups(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ROWS):
             unit, seq, size, rest, group, side = (table.column(i).to_numpy() for i in (0, 1, 2, 4, 5, 6))
-            tree = Tree(unit, np.arange(len(seq)), rest.astype(np.int64), size.astype(np.int64), _bitmaps(table.column(3)), group, side)
+            bitmap, wide = _bitmaps(table.column(3))
+            tree = Tree(unit, np.arange(len(seq)), rest.astype(np.int64), size.astype(np.int64), bitmap, group, side, wide)
             for a, b in tree.pairs(threshold):
                 yield _distinct(seq[tree.row[a]], seq[tree.row[b]]).select(["a", "b"])
 
@@ -447,14 +514,24 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", thresho
     copies = durable(copies.select(F.col("head").alias("a"), F.col("seq").alias("b")).distinct(), "copies")
     heads = sets.select("seq", "tokens").join(copies.select(F.col("b").alias("seq")), "seq", "left_anti")
 
-    count, held = sets.agg(F.count(F.lit(1)), F.sum(F.col("size") / WIDTH)).first()
+    n, wide = F.col("size") / WIDTH, F.lit(1)
+    for k in range(WIDER.bit_length() - 1):
+        wide = F.when(n * DENSE > BITS << k, F.lit(2 << k)).otherwise(wide)
+    count, held, carried = sets.agg(F.count(F.lit(1)), F.sum(n), F.sum(n * (ENTRY + wide * (BITS // 8)))).first()
     parts = max(PARTS, int((1 - threshold) * (held or 0) + count) // ENTRIES + 1)
+    rounds = max(1, min(parts // PARTS, int((1 - threshold) * (carried or 0) / (SHARE * WIDTH * (held or 1))) + 1))
     some, step = _sample(sets, count)
     frequent = share(_frequent(some))
     # no token has more entries than there are texts
     hot = share(_hot(some, frequent, threshold, split / step, split / step) if count > split else (np.empty(0, np.int64), np.empty(0, np.int64)))
-    postings = heads.mapInArrow(_postings(frequent, hot, parts, threshold), POSTINGS)
-    found = durable(spread(postings, "part", parts).sortWithinPartitions("part").mapInArrow(_candidates(hot, threshold, plenty, several), FOUND), "candidates")
+    firsts = heads.mapInArrow(_firsts(frequent, threshold), FIRSTS)
+    if rounds > 1:
+        firsts = durable(firsts, "firsts")
+    found = None
+    for turn in range(rounds):
+        postings = spread(firsts.mapInArrow(_postings(hot, parts, rounds, turn), POSTINGS), "part", -(-parts // rounds))
+        some = durable(postings.sortWithinPartitions("part").mapInArrow(_candidates(hot, threshold, plenty, several), FOUND), "candidates")
+        found = found.unionByName(some) if found else some
     pairs = durable(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
 
     # first every text with the nearest smaller candidate: a chain, so no text has very many; pairs within a group then need no more work

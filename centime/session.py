@@ -6,9 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes a query's shuffle files as it ends; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: list[str] = []
 _written: list[str] = []
 
@@ -51,16 +56,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(_scratch[0])
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile leave no shuffle files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def durable(df: DataFrame, name: str = "step", by: list[str] | None = None) -> DataFrame:
     """Write df once to the shared folder, partitioned by some columns if asked, and read it back.
 
     Cuts lineage and survives the loss of executors; used where a result feeds
-    several consumers or an iteration. Nothing is kept in executors' memory.
+    several consumers or an iteration. Nothing is kept in executors' memory,
+    and what was shuffled for it is deleted when it is written.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/centime/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    with _shuffles_deleted(spark):
+        (writer.partitionBy(*by) if by else writer).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 
 from centime.llm import signatures
+from centime.llm.batches import spread
 from centime.llm.components import components
 from centime.llm.signatures import Tree, duplicate_pairs, near_duplicates, texts_may_match
+from centime.session import durable
 
 
 def triples(text):
@@ -153,3 +155,61 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(changed)), (3, "x" * 5_000_000)], "seq bigint, text string")
     assert len(" ".join(base)) > 1 << 22
     assert {r["seq"]: r["group"] for r in near_duplicates(df).collect()} == {1: 1, 2: 1}
+
+
+def test_many_parts_are_walked_in_rounds(spark, monkeypatch):
+    # with a part for nearly each entry, a text goes to as many parts as it has first triples: all at once took over 3 times the input on disk
+    texts, sent = corpus(3, 40, 3), []
+
+    def counted(df, key, tasks):
+        sent.append(df.count())
+        return spread(df, key, tasks)
+
+    monkeypatch.setattr(signatures, "ENTRIES", 20)
+    monkeypatch.setattr(signatures, "spread", counted)
+    df = spark.createDataFrame(list(texts.items()), "seq bigint, text string")
+    assert {r["seq"]: r["group"] for r in near_duplicates(df).collect()} == brute(texts)
+    assert max(sent) <= sum(sent) / 3
+
+
+def test_long_texts_that_share_sentences_are_no_candidates(spark, monkeypatch):
+    # 1,200 triples each, an eighth of them in common: in bitmaps of 768 bits nearly all bits are set, so each two were sent to be verified
+    draw, counts = random.Random(5), {}
+    sentences = [" ".join(f"m{draw.randrange(10**6)}" for _ in range(18)) for _ in range(500)]
+    texts = {k: " ".join(draw.sample(sentences, 66)) for k in range(40)}
+    for k in range(4):
+        texts[40 + k] = " ".join(texts[k].split()[: 1200 - 130 * k])
+        texts[50 + k] = edited(draw, texts[k].split(), 40)
+
+    def noted(df, name="step"):
+        kept = durable(df, name)
+        counts[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(signatures, "durable", noted)
+    df = spark.createDataFrame(list(texts.items()), "seq bigint, text string")
+    expected = brute(texts)
+    assert {r["seq"]: r["group"] for r in near_duplicates(df).collect()} == expected and len(expected) == 12
+    assert counts["pairs"] <= 24
+
+
+def test_bitmaps_of_several_widths_agree():
+    import pyarrow as pa
+
+    draw, step = np.random.default_rng(6), signatures.BITS
+    sizes = np.array([100, step, 3 * step, 9 * step, 50, 2 * step])
+    tokens = [draw.choice(1 << 40, n, replace=False) for n in sizes]
+    widths = signatures.widened(sizes) * step
+    assert set(widths // step) == {1, 2, 4}
+
+    def bits(i, width):
+        found = np.zeros(width, np.uint8)
+        found[tokens[i] % width] = 1
+        return np.packbits(found)
+
+    narrow, wide = signatures._bitmaps(pa.chunked_array([pa.array([bits(i, w).tobytes() for i, w in enumerate(widths)], pa.binary())]))
+    assert (narrow.view(np.uint8) == [bits(i, step) for i in range(6)]).all()
+    for (place, found), width in zip(wide, (2 * step, 4 * step), strict=True):
+        has = np.flatnonzero(widths >= width)
+        assert np.flatnonzero(place >= 0).tolist() == has.tolist()
+        assert (found[place[has]].view(np.uint8) == [bits(i, width) for i in has]).all()
